@@ -200,12 +200,8 @@ def drop_empty_columns(rows: DataFrame, tables: DataFrame) -> tuple[DataFrame, D
     none = F.array().cast("array<int>")
     headed = tables.join(seen, TABLE_KEY, "left").withColumn("kept", F.coalesce("kept", none))
     kept_here = F.col("kept")
-    narrow = headed.withColumns(
-        {
-            "columns": cells_at(kept_here, F.col("columns")),
-            "n_cols": F.size(F.filter(kept_here, lambda p: p < F.size("columns"))),
-        }
-    )
+    in_header = F.filter(kept_here, lambda p: p < F.size("columns"))
+    narrow = headed.withColumn("columns", cells_at(in_header, F.col("columns"))).withColumn("n_cols", F.size("columns"))
     new_rows = with_tables(rows, headed, "kept").withColumns(
         {"cells": cells_at(kept_here, F.col("cells")), "vtypes": cells_at(kept_here, F.col("vtypes"))}
     )

@@ -1,0 +1,6 @@
+"""Registered queries over the star-schema tables."""
+
+from workloads import profiles, shapes  # noqa: F401
+from workloads.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
