@@ -137,18 +137,12 @@ def one_sample(samples: DataFrame, index: int) -> DataFrame:
 def columns_of_table(meta: DataFrame) -> DataFrame:
     """Ordered columns per (db, table) from database metadata.
 
-    ``meta`` is (db, table_names, column_names ARRAY<STRUCT<t_idx, column>>).
+    ``meta`` is (db, table_names, column_names ARRAY<STRUCT<t_idx, column>>), one row per
+    database, so the columns of a table are picked inside the row.
     """
-    names = meta.select("db", F.posexplode("table_names").alias("t_idx", "table_name"))
-    columns = meta.select("db", F.posexplode("column_names").alias("pos", "c")).select(
-        "db", F.col("c.t_idx").alias("t_idx"), "pos", F.col("c.column").alias("column")
-    )
-    listed = columns.groupBy("db", "t_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "column"))).alias("cs"))
-    return names.join(listed, ["db", "t_idx"], "left").select(
-        "db",
-        "table_name",
-        F.coalesce(F.transform("cs", lambda c: c["column"]), F.array().cast("array<string>")).alias("columns"),
-    )
+    named = meta.select("db", "column_names", F.posexplode("table_names").alias("t_idx", "table_name"))
+    own = F.filter("column_names", lambda c: c["t_idx"] == F.col("t_idx"))
+    return named.select("db", "table_name", F.transform(own, lambda c: c["column"]).alias("columns"))
 
 
 def with_database_keys(queries: DataFrame, meta: DataFrame) -> DataFrame:

@@ -6,11 +6,15 @@ from pyspark.sql import SparkSession
 
 # Runtime SQL settings: skewed joins are split even when that costs an extra
 # exchange, partitions are coalesced after a shuffle, times are read as UTC.
+# A side is broadcast on its estimated size only below 1 MB, as estimates rest on
+# compressed files; larger sides have to show their real size at run time.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "1m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
 }
 

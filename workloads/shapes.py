@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tableviews.functions import sqltext
 from tableviews.operators import profile, reshape, selection
 from workloads.derive import (
-    CUSTOMER_SAMPLES, LINE_ROWS, ORDER_SAMPLES, customer_samples, duck_hash, joined,
+    CUSTOMER_SAMPLES, LINE_COLUMNS, LINE_ROWS, ORDER_COLUMNS, ORDER_SAMPLES, customer_samples, duck_hash, joined, names,
     order_rows, order_samples, order_tables, table, with_ctes,
 )
 from workloads.registry import query
@@ -217,20 +217,16 @@ def one_sample(spark, sf_dir):
 
 @query(
     "table_columns",
-    """WITH meta AS (SELECT c_mktsegment AS db, c_nationkey AS t_idx, c_custkey AS pos, c_name AS col FROM customer)
-SELECT db, 'T' || t_idx AS table_name, coalesce(string_agg(col, ', ' ORDER BY pos), '') AS columns FROM
- (SELECT DISTINCT db FROM meta) CROSS JOIN (SELECT DISTINCT n_nationkey AS t_idx FROM nation) LEFT JOIN meta USING (db, t_idx) GROUP BY ALL""",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS db, table_name, columns FROM orders CROSS JOIN
+ (VALUES ('orders', '{", ".join(ORDER_COLUMNS)}'), ('lineitem', '{", ".join(LINE_COLUMNS)}'), ('empty', '')) AS t(table_name, columns)""",
 )
 def table_columns(spark, sf_dir):
-    """Ordered columns per table from nested database metadata (segment, nation and customer stand in)."""
-    listed = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
-        F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_nationkey").alias("t_idx"), F.col("c_name").alias("column")))).alias("cs")
-    )
-    nations = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list("n_nationkey")).alias("ns"))
-    meta = listed.crossJoin(nations).select(
-        F.col("c_mktsegment").alias("db"),
-        F.transform("ns", lambda n: F.concat(F.lit("T"), n.cast("string"))).alias("table_names"),
-        F.transform("cs", lambda c: F.struct(c["t_idx"].alias("t_idx"), c["column"].alias("column"))).alias("column_names"),
+    """Ordered columns per table from nested metadata; every order brings the metadata of one database."""
+    entry = lambda i, c: F.struct(F.lit(i).alias("t_idx"), F.lit(c).alias("column"))
+    both = [entry(0, c) for c in ORDER_COLUMNS] + [entry(1, c) for c in LINE_COLUMNS]
+    meta = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("db"), names(["orders", "lineitem", "empty"]).alias("table_names"),
+        F.array(*both).alias("column_names"),
     )
     return selection.columns_of_table(meta).select("db", "table_name", joined("columns").alias("columns"))
 
