@@ -22,9 +22,10 @@ def request_id(kind: str, *key: Column | str) -> Column:
 
 def make_requests(df: DataFrame, kind: str, key: list[str], prompt: Column, n_tokens: Column | None = None) -> DataFrame:
     """One row per prompt: (request_id, kind, key columns, prompt, n_tokens_est)."""
-    made = df.select(request_id(kind, *key).alias("request_id"), F.lit(kind).alias("kind"), *key, prompt.alias("prompt"))
-    estimate = token_estimate(F.length("prompt")) if n_tokens is None else n_tokens
-    return made.withColumn("n_tokens_est", estimate)
+    estimate = token_estimate(F.length(prompt)) if n_tokens is None else n_tokens
+    return df.select(
+        request_id(kind, *key).alias("request_id"), F.lit(kind).alias("kind"), *key, prompt.alias("prompt"), estimate.alias("n_tokens_est")
+    )
 
 
 def attach_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:

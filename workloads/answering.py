@@ -15,14 +15,15 @@ from workloads.registry import query
 from workloads.sentences import wide_sets
 
 _DAY = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"
-_LOOKUPS = with_ctes(CUSTOMER_SAMPLES, ORDER_ROWS, f"""hits AS (
+_LOOKUP_CTES = f"""hits AS (
  SELECT s.sample_id, o.row_pos, CASE s.ord % 8 WHEN 0 THEN CAST(o_totalprice AS VARCHAR) WHEN 1 THEN concat(o_orderkey, ' | ', {_DAY})
   WHEN 3 THEN o_orderstatus ELSE CAST(o_orderkey AS VARCHAR) END AS answer, s.ord % 8 AS shape
  FROM customer_samples s JOIN order_rows o ON o.sample_id = s.sample_id
  WHERE CASE s.ord % 8 WHEN 0 THEN o_orderstatus = 'F' WHEN 1 THEN starts_with(o_orderpriority, CAST(s.ord % 5 + 1 AS VARCHAR))
   WHEN 2 THEN o_totalprice BETWEEN 50000 AND 100000 + s.ord % 100 * 1000 WHEN 3 THEN o_orderpriority IN ('1-URGENT', '5-LOW')
   WHEN 7 THEN row_pos < 2 ELSE false END), lookups AS (
- SELECT sample_id, min(row_pos) AS row_pos, answer FROM hits GROUP BY sample_id, answer, CASE WHEN shape = 3 THEN -1 ELSE row_pos END)""")
+ SELECT sample_id, min(row_pos) AS row_pos, answer FROM hits GROUP BY sample_id, answer, CASE WHEN shape = 3 THEN -1 ELSE row_pos END)"""
+_LOOKUPS = with_ctes(CUSTOMER_SAMPLES, ORDER_ROWS, _LOOKUP_CTES)
 
 
 def _customer(spark, sf_dir):
@@ -45,19 +46,21 @@ def nested_answers(spark, sf_dir):
     return parts.select("sample_id", "part", F.array_join(F.transform("answer", lambda r: F.array_join(r, " | ")), " ; ").alias("answer"))
 
 
-_AGGREGATES = with_ctes(CUSTOMER_SAMPLES, """groups AS (
+_AGGREGATE_CTES = """groups AS (
  SELECT s.sample_id, s.ord % 8 AS shape, CASE s.ord % 8 WHEN 4 THEN o_orderpriority WHEN 5 THEN o_orderstatus END AS group_value,
-  CASE WHEN s.ord % 8 = 6 THEN max(o_totalprice) ELSE CAST(count(*) AS DOUBLE) END AS value
+  CASE WHEN any_value(s.ord) % 8 = 6 THEN max(o_totalprice) ELSE CAST(count(*) AS DOUBLE) END AS value
  FROM customer_samples s JOIN orders o ON o.o_custkey = s.ord
- WHERE s.ord % 8 IN (4, 5) OR (s.ord % 8 = 6 AND o_orderstatus = 'O') GROUP BY ALL), kept AS (
+ WHERE s.ord % 8 IN (4, 5) OR (s.ord % 8 = 6 AND o_orderstatus = 'O') GROUP BY 1, 2, 3), kept AS (
  SELECT * FROM groups QUALIFY shape <> 5 OR row_number() OVER (PARTITION BY sample_id ORDER BY value DESC, group_value) = 1), aggregates AS (
  SELECT sample_id, group_value, value, CASE shape WHEN 4 THEN concat(group_value, ' | ', CAST(value AS BIGINT)) WHEN 5 THEN group_value
   ELSE CAST(value AS VARCHAR) END AS answer FROM kept
  UNION ALL SELECT sample_id, NULL, NULL, NULL FROM customer_samples s WHERE ord % 8 = 6
-  AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.sample_id = s.sample_id))""")
+  AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.sample_id = s.sample_id))"""
+_AGGREGATES = with_ctes(CUSTOMER_SAMPLES, _AGGREGATE_CTES)
+_BOTH = with_ctes(CUSTOMER_SAMPLES, ORDER_ROWS, _LOOKUP_CTES, _AGGREGATE_CTES).rstrip()
 
 
-@query("aggregate_answers", _AGGREGATES + "SELECT sample_id, group_value, value, coalesce(answer, 'none') AS answer FROM aggregates a WHERE EXISTS (SELECT 1 FROM orders WHERE CAST(o_custkey AS VARCHAR) = a.sample_id) OR value IS NULL")
+@query("aggregate_answers", _AGGREGATES + "SELECT sample_id, group_value, value, coalesce(answer, 'none') AS answer FROM aggregates")
 def aggregate_answers(spark, sf_dir):
     """All single-table aggregates of all customers in one job."""
     found = answers.answer_aggregates(*_customer(spark, sf_dir))
@@ -66,12 +69,12 @@ def aggregate_answers(spark, sf_dir):
 
 @query(
     "answer_quality",
-    _AGGREGATES.rstrip() + ",\n" + _LOOKUPS.split("WITH ", 1)[1].split(",\n", 1)[1].rstrip() + """,
- values AS (SELECT sample_id, answer AS v FROM aggregates WHERE group_value IS NULL UNION ALL SELECT sample_id, unnest(string_split(answer, ' | ')) FROM aggregates WHERE group_value IS NOT NULL
+    _BOTH + """,
+ vals AS (SELECT sample_id, answer AS v FROM aggregates WHERE group_value IS NULL UNION ALL SELECT sample_id, unnest(string_split(answer, ' | ')) FROM aggregates WHERE group_value IS NOT NULL
   UNION ALL SELECT sample_id, unnest(string_split(answer, ' | ')) FROM lookups)
 SELECT sample_id, count(*) AS n_values, count(*) FILTER (v IS NULL) = 0 AS ok,
  count(*) FILTER (v <> '') > 0 AND NOT (count(*) = 1 AND count(*) FILTER (TRY_CAST(v AS DOUBLE) = 0) = 1) AS meaningful
-FROM values GROUP BY sample_id""",
+FROM vals GROUP BY sample_id""",
 )
 def answer_quality(spark, sf_dir):
     """Whether the answers are complete and say something, over lookups and aggregates."""
