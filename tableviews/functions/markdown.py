@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tableviews.functions.binding import bind
 from tableviews.functions.cells import shown
 
 
@@ -54,12 +55,11 @@ def parse_table(markdown: Column) -> Column:
     The second line is the rule and is skipped; rows that do not have the
     header's arity are left out; text of fewer than two lines has no table.
     """
+    def table_of(lines: Column) -> Column:
+        columns = split_line(F.get(lines, F.lit(0)))
+        body = F.transform(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), split_line)
+        return bind(columns, lambda cs: F.struct(cs.alias("columns"), F.filter(body, lambda r: F.size(r) == F.size(cs)).alias("rows")))
+
+    none = F.struct(F.array().cast("array<string>").alias("columns"), F.array().cast("array<array<string>>").alias("rows"))
     lines = F.split(F.regexp_replace(markdown, r"^\s+|\s+$", ""), "\n")
-    columns = split_line(F.get(lines, F.lit(0)))
-    body = F.transform(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), split_line)
-    rows = F.filter(body, lambda r: F.size(r) == F.size(columns))
-    is_table = F.size(lines) >= 2
-    return F.struct(
-        F.when(is_table, columns).otherwise(F.array().cast("array<string>")).alias("columns"),
-        F.when(is_table, rows).otherwise(F.array().cast("array<array<string>>")).alias("rows"),
-    )
+    return bind(lines, lambda ls: F.when(F.size(ls) >= 2, table_of(ls)).otherwise(none))

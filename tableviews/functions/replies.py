@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tableviews.functions.binding import bind
 from tableviews.functions.cells import flat_values, variant_text, variant_type
 
 # The fences and keys that replies are written with.
@@ -38,68 +39,78 @@ def parse_label_reply(text: Column) -> Column:
     A list counts as its first element.  Inside combinations only texts and
     integers are names.  When neither field holds anything the reply failed.
     """
-    parsed = F.try_parse_json(fenced_json(text))
-    first = F.try_variant_get(parsed, "$[0]", "variant")
-    parsed = F.when(variant_type(parsed) == "ARRAY", first).otherwise(parsed)
-    labels = F.transform_values(
-        F.coalesce(F.try_variant_get(parsed, "$.column_classification", "map<string,variant>"), F.create_map().cast("map<string,variant>")),
-        lambda _, v: F.coalesce(variant_text(v), F.lit("None")),
-    )
-    lists = F.filter(
-        F.transform(
-            F.coalesce(F.try_variant_get(parsed, "$.combinations", "array<variant>"), F.array().cast("array<variant>")),
-            lambda x: F.try_variant_get(x, "$", "array<variant>"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    combinations = F.transform(
-        lists,
-        lambda xs: F.transform(
-            F.filter(xs, lambda x: variant_type(x).isin("STRING", "BIGINT", "BOOLEAN")), lambda x: variant_text(x)
-        ),
-    )
-    return F.struct(
-        labels.alias("labels"),
-        combinations.alias("combinations"),
-        ((F.size(labels) == 0) & (F.size(combinations) == 0)).alias("failed"),
-    )
+    no_labels = F.create_map().cast("map<string,variant>")
+    no_lists = F.array().cast("array<variant>")
+
+    def labels(v: Column) -> Column:
+        found = F.coalesce(F.try_variant_get(v, "$.column_classification", "map<string,variant>"), no_labels)
+        return F.transform_values(found, lambda _, x: F.coalesce(variant_text(x), F.lit("None")))
+
+    def names(xs: Column) -> Column:
+        return F.transform(F.filter(xs, lambda x: variant_type(x).isin("STRING", "BIGINT", "BOOLEAN")), lambda x: variant_text(x))
+
+    def combinations(v: Column) -> Column:
+        found = F.coalesce(F.try_variant_get(v, "$.combinations", "array<variant>"), no_lists)
+        lists = F.transform(found, lambda x: F.try_variant_get(x, "$", "array<variant>"))
+        return F.transform(F.filter(lists, lambda x: x.isNotNull()), names)
+
+    def with_outcome(r: Column) -> Column:
+        return F.struct(
+            r["labels"].alias("labels"),
+            r["combinations"].alias("combinations"),
+            ((F.size(r["labels"]) == 0) & (F.size(r["combinations"]) == 0)).alias("failed"),
+        )
+
+    first = lambda v: F.when(variant_type(v) == "ARRAY", F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
+    read = lambda v: F.struct(labels(v).alias("labels"), combinations(v).alias("combinations"))
+    return bind(bind(bind(F.try_parse_json(fenced_json(text)), first), read), with_outcome)
 
 
 def parse_template_reply(text: Column, n: int = 5) -> Column:
     """Reply to ARRAY<STRING> of n templates; NULL where the reply is not a JSON object."""
-    parsed = F.try_parse_json(without_fence(text))
-    usable = F.coalesce(variant_type(parsed) == "OBJECT", F.lit(False))
-    return F.when(usable, F.array(*[F.try_variant_get(parsed, f"$.template{i}", "string") for i in range(1, n + 1)]))
+    read = lambda v: F.array(*[F.try_variant_get(v, f"$.template{i}", "string") for i in range(1, n + 1)])
+    return bind(F.try_parse_json(without_fence(text)), lambda v: F.when(variant_type(v) == "OBJECT", read(v)))
 
 
 def parse_list_field(text: Column) -> Column:
     """A list written as JSON or with commas; blanks are dropped."""
-    t = strip(text)
-    from_json = F.when(
-        t.rlike(r"(?s)^\[.*\]$"),
-        F.transform(F.try_variant_get(F.try_parse_json(t), "$", "array<variant>"), lambda v: F.coalesce(variant_text(v), F.lit("None"))),
-    )
-    parts = F.transform(F.coalesce(from_json, F.split(t, ",")), strip)
-    return F.coalesce(F.filter(parts, lambda p: p != ""), F.array().cast("array<string>"))
+    def parts(t: Column) -> Column:
+        listed = F.try_variant_get(F.try_parse_json(t), "$", "array<variant>")
+        from_json = F.when(t.rlike(r"(?s)^\[.*\]$"), F.transform(listed, lambda v: F.coalesce(variant_text(v), F.lit("None"))))
+        return F.filter(F.transform(F.coalesce(from_json, F.split(t, ",")), strip), lambda p: p != "")
+
+    return F.coalesce(bind(strip(text), parts), F.array().cast("array<string>"))
 
 
 def extract_answer(text: Column) -> Column:
-    """Reply to struct(prediction, error)."""
-    raw = strip(text)
-    body = F.when(
-        F.startswith(raw, F.lit("```json")),
-        strip(F.regexp_replace(F.substring(raw, 8, 2147483647), "```$", "")),
-    ).otherwise(raw)
-    parsed = F.try_parse_json(body)
-    is_object = F.coalesce(variant_type(parsed) == "OBJECT", F.lit(False))
-    found = F.coalesce(*[F.try_variant_get(parsed, f"$.{k}", "variant") for k in ANSWER_KEYS])
-    answer = F.lower(strip(F.coalesce(variant_text(found), F.lit("None"))))
-    # a parsed object without an answer key gives the inner text, anything unreadable the whole reply
-    fallback = F.when(parsed.isNotNull() & ~variant_type(parsed).isin("BIGINT", "DOUBLE", "BOOLEAN", "VOID"), body).otherwise(raw)
-    ok = is_object & found.isNotNull()
-    return F.struct(
-        F.when(ok, answer).otherwise(fallback).alias("prediction"),
-        F.when(~ok, EXTRACT_FAILED).alias("error"),
+    """Reply to struct(prediction, error).
+
+    The answer is the text under one of the answer keys.  A JSON list or object without
+    them gives the text inside the fence, anything else the whole reply, both as failures.
+    """
+    def inner(raw: Column) -> Column:
+        fenced = strip(F.regexp_replace(F.substring(raw, 8, 2147483647), "```$", ""))
+        return F.when(F.startswith(raw, F.lit("```json")), fenced).otherwise(raw)
+
+    def found(v: Column) -> Column:
+        keyed = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in ANSWER_KEYS])
+        return F.when(variant_type(v) == "OBJECT", keyed)
+
+    def result(raw: Column, body: Column, v: Column, answer: Column) -> Column:
+        nested = F.coalesce(variant_type(v).isin("ARRAY", "OBJECT", "STRING"), F.lit(False))
+        fallback = F.when(v.isNotNull() & nested, body).otherwise(raw)
+        shown = F.lower(strip(F.coalesce(variant_text(answer), F.lit("None"))))
+        return F.struct(
+            F.when(answer.isNotNull(), shown).otherwise(fallback).alias("prediction"),
+            F.when(answer.isNull(), EXTRACT_FAILED).alias("error"),
+        )
+
+    return bind(
+        strip(text),
+        lambda raw: bind(
+            inner(raw),
+            lambda body: bind(F.try_parse_json(body), lambda v: bind(found(v), lambda a: result(raw, body, v, a))),
+        ),
     )
 
 
@@ -109,11 +120,14 @@ def normalize_answer(v: Column) -> Column:
     Lists are flattened and joined by spaces, objects become JSON with sorted
     keys, everything is lower-cased.
     """
-    kind = variant_type(v)
-    joined = F.array_join(F.transform(flat_values(v), lambda x: F.coalesce(variant_text(x), F.lit("None"))), " ")
-    # a space after every comma and colon that stands outside of quotes
-    spaced = F.regexp_replace(F.to_json(v), r'((?:"(?:[^"\\]|\\.)*"|[^":,])*)([:,])', "$1$2 ")
-    return F.lower(F.when(kind == "ARRAY", joined).when(kind == "OBJECT", spaced).otherwise(F.coalesce(variant_text(v), F.lit("None"))))
+    def by_kind(kind: Column) -> Column:
+        joined = F.array_join(F.transform(flat_values(v), lambda x: F.coalesce(variant_text(x), F.lit("None"))), " ")
+        # a space after every comma and colon that stands outside of quotes
+        spaced = F.regexp_replace(F.to_json(v), r'((?:"(?:[^"\\]|\\.)*"|[^":,])*)([:,])', "$1$2 ")
+        plain = F.coalesce(variant_text(v), F.lit("None"))
+        return F.lower(F.when(kind == "ARRAY", joined).when(kind == "OBJECT", spaced).otherwise(plain))
+
+    return bind(variant_type(v), by_kind)
 
 
 def judge_text(v: Column) -> Column:
@@ -150,9 +164,11 @@ def sql_without_note(text: Column) -> Column:
 def guard_sql(text: Column) -> Column:
     """Reply to struct(sql, error): the fenced statement if there is one, SELECT only."""
     body = F.when(text.rlike(SQL_FENCE), strip(F.regexp_extract(text, SQL_FENCE, 1))).otherwise(strip(text))
-    sql = F.btrim(body, F.lit(";"))
-    ok = sql.rlike(r"(?is)^\(*\s*select")
-    return F.struct(
-        F.when(ok, F.concat(sql, F.lit(";"))).alias("sql"),
-        F.when(~ok, "Only SELECT is allowed.").alias("error"),
-    )
+
+    def checked(sql: Column) -> Column:
+        ok = sql.rlike(r"(?is)^\(*\s*select")
+        return F.struct(
+            F.when(ok, F.concat(sql, F.lit(";"))).alias("sql"), F.when(~ok, "Only SELECT is allowed.").alias("error")
+        )
+
+    return bind(F.btrim(body, F.lit(";")), checked)

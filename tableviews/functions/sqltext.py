@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tableviews.functions.binding import bind
+
 # Tag names, their order, and the words that decide them.
 TAGS = ["Aggregation", "Max/Min", "Join", "Ranking", "Comparison", "SimpleProjection"]
 LOOKUP_TAG = "SimpleProjection"
@@ -57,33 +59,46 @@ def sql_tables(sql: Column) -> Column:
 
 def is_lookup(sql: Column) -> Column:
     """One table, plain columns, and at most AND-ed comparisons with literals."""
-    q = one_line(sql)
-    select_list = F.regexp_extract(q, SELECT_LIST, 1)
-    where = F.trim(F.regexp_extract(q, WHERE_PART, 1))
+    return bind(one_line(sql), _line_is_lookup)
+
+
+def _line_is_lookup(q: Column) -> Column:
+    where_fits = bind(
+        F.trim(F.regexp_extract(q, WHERE_PART, 1)), lambda w: (w == "") | (~w.rlike(OR_WORD) & w.rlike(ATOMS_ONLY))
+    )
     return (
         ~q.rlike(BEYOND_LOOKUP)
-        & (F.size(F.regexp_extract_all(F.upper(q), F.lit("SELECT"), F.lit(0))) == 1)
-        & (F.size(sql_tables(F.upper(q))) == 1)
-        & q.rlike(SELECT_LIST)
-        & select_list.rlike(NAMES_ONLY)
-        & ((where == "") | (~where.rlike(OR_WORD) & where.rlike(ATOMS_ONLY)))
+        & F.regexp_extract(q, SELECT_LIST, 1).rlike(NAMES_ONLY)
+        & bind(
+            F.upper(q),
+            lambda u: (F.size(F.regexp_extract_all(u, F.lit("SELECT"), F.lit(0))) == 1) & (F.size(sql_tables(u)) == 1),
+        )
+        & where_fits
     )
 
 
 def sql_tags(sql: Column) -> Column:
     """Tags of a SQL text in their fixed order; a text without any may be a lookup."""
-    blanked = F.regexp_replace(one_line(sql), QUOTED_TEXT, "''")
-    outside_joins = F.regexp_replace(blanked, JOIN_CONDITION, "$1")
-    found = F.array_compact(
-        F.array(
-            F.when(blanked.rlike(AGGREGATE_WORD), TAGS[0]),
-            F.when(blanked.rlike(EXTREME_WORD), TAGS[1]),
-            F.when(blanked.rlike(JOIN_WORD), TAGS[2]),
-            F.when(blanked.rlike(ORDER_WORD), TAGS[3]),
-            F.when(outside_joins.rlike(NUMBER_AFTER_OPERATOR) | outside_joins.rlike(NUMBER_BEFORE_OPERATOR), TAGS[4]),
+    def found(blanked: Column, outside_joins: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(blanked.rlike(AGGREGATE_WORD), TAGS[0]),
+                F.when(blanked.rlike(EXTREME_WORD), TAGS[1]),
+                F.when(blanked.rlike(JOIN_WORD), TAGS[2]),
+                F.when(blanked.rlike(ORDER_WORD), TAGS[3]),
+                F.when(outside_joins.rlike(NUMBER_AFTER_OPERATOR) | outside_joins.rlike(NUMBER_BEFORE_OPERATOR), TAGS[4]),
+            )
         )
-    )
-    return F.when(F.size(found) > 0, found).when(is_lookup(sql), F.array(F.lit(LOOKUP_TAG))).otherwise(found)
+
+    def of_line(q: Column) -> Column:
+        tags = bind(
+            F.regexp_replace(q, QUOTED_TEXT, "''"),
+            lambda blanked: bind(F.regexp_replace(blanked, JOIN_CONDITION, "$1"), lambda outside: found(blanked, outside)),
+        )
+        lookup = F.array(F.lit(LOOKUP_TAG))
+        return bind(tags, lambda t: F.when(F.size(t) > 0, t).when(_line_is_lookup(q), lookup).otherwise(t))
+
+    return bind(one_line(sql), of_line)
 
 
 def sql_type(tags: Column) -> Column:
@@ -96,14 +111,17 @@ def is_pure_lookup(tags: Column) -> Column:
 
 def unquote(text: Column) -> Column:
     """A name or literal without its quotes."""
-    t = F.trim(text)
-    return F.when(t.rlike(r"(?s)^('.*'|\".*\"|`.*`|\[.*\])$"), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    return bind(
+        F.trim(text),
+        lambda t: F.when(t.rlike(r"(?s)^('.*'|\".*\"|`.*`|\[.*\])$"), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t),
+    )
 
 
 def bare_name(text: Column) -> Column:
     """Column name without quotes and without a table prefix."""
-    t = F.trim(text)
-    return F.when(t.rlike(r"^\w+\.\w+$"), F.regexp_extract(t, r"\.(\w+)$", 1)).otherwise(unquote(t))
+    return bind(
+        F.trim(text), lambda t: F.when(t.rlike(r"^\w+\.\w+$"), F.regexp_extract(t, r"\.(\w+)$", 1)).otherwise(unquote(t))
+    )
 
 
 def where_text(sql: Column) -> Column:
@@ -116,17 +134,16 @@ def predicates(where: Column) -> Column:
     NULL when the text is more than AND-ed atoms, and empty when there is none.
     """
     def parts(atom: Column) -> Column:
-        op = F.lower(F.regexp_extract(atom, ATOM_PARTS, 2))
         args = F.regexp_extract_all(F.regexp_extract(atom, ATOM_PARTS, 3), F.lit(LITERAL), F.lit(0))
         return F.struct(
             bare_name(F.regexp_extract(atom, ATOM_PARTS, 1)).alias("col"),
-            op.alias("op"),
+            F.lower(F.regexp_extract(atom, ATOM_PARTS, 2)).alias("op"),
             F.transform(args, unquote).alias("args"),
         )
 
-    atoms = F.regexp_extract_all(where, F.lit(f"(?i){ATOM}"), F.lit(0))
     none = F.array().cast("array<struct<col:string,op:string,args:array<string>>>")
-    return F.when(where == "", none).when(where.rlike(ATOMS_ONLY) & ~where.rlike(OR_WORD), F.transform(atoms, parts))
+    atoms = lambda w: F.transform(F.regexp_extract_all(w, F.lit(f"(?i){ATOM}"), F.lit(0)), parts)
+    return bind(where, lambda w: F.when(w == "", none).when(w.rlike(ATOMS_ONLY) & ~w.rlike(OR_WORD), atoms(w)))
 
 
 def select_names(sql: Column) -> Column:
@@ -149,40 +166,65 @@ def limit_of(sql: Column) -> Column:
 AGG_CALL = r"(sum|avg|count|min|max)\s*\(\s*(\*|" + NAME + r")\s*\)"
 
 
+GROUPED_BY = rf"(?i)\bgroup by\s+({NAME})\s*(?:\border by\b.*|\blimit\b.*)?$"
+ORDERED_BY = r"(?i)\border by\s+(.*?)(?:\blimit\b.*)?$"
+PLAIN_ORDER = rf"(?i)^(?:{AGG_CALL}|{NAME})(?:\s+(?:asc|desc))?$"
+
+
 def aggregate_spec(sql: Column) -> Column:
-    """Struct describing a single-table aggregate; ``func`` is NULL for other texts.
+    """Struct describing a single-table aggregate, NULL for other texts.
 
     ``shows`` says what the select list holds: ``group``, ``value``, ``both``.
     """
-    q = F.rtrim(one_line(sql), F.lit("; "))
-    select_list = F.trim(F.regexp_extract(q, SELECT_LIST, 1))
-    group = F.regexp_extract(q, rf"(?i)\bgroup by\s+({NAME})\s*(?:\border by\b.*|\blimit\b.*)?$", 1)
-    order = F.trim(F.regexp_extract(q, r"(?i)\border by\s+(.*?)(?:\blimit\b.*)?$", 1))
-    listed_call = F.regexp_extract(select_list, f"(?i){AGG_CALL}", 0)
-    ordered_call = F.regexp_extract(order, f"(?i){AGG_CALL}", 0)
-    call = F.when(listed_call != "", listed_call).otherwise(ordered_call)
+    def pieces(q: Column) -> Column:
+        return F.struct(
+            q.alias("q"),
+            F.trim(F.regexp_extract(q, SELECT_LIST, 1)).alias("listed"),
+            F.regexp_extract(q, GROUPED_BY, 1).alias("grouping"),
+            F.trim(F.regexp_extract(q, ORDERED_BY, 1)).alias("ordering"),
+            predicates(where_text(q)).alias("preds"),
+            F.upper(q).alias("up"),
+        )
+
+    def calls(p: Column) -> Column:
+        call = lambda text: F.regexp_extract(text, f"(?i){AGG_CALL}", 0)
+        return F.struct(p.alias("p"), call(p["listed"]).alias("listed_call"), call(p["ordering"]).alias("ordered_call"))
+
+    return bind(bind(F.rtrim(one_line(sql), F.lit("; ")), pieces), lambda p: bind(calls(p), _spec_of))
+
+
+def _spec_of(c: Column) -> Column:
+    p, listed_call, ordered_call = c["p"], c["listed_call"], c["ordered_call"]
+    q, grouping, ordering = p["q"], p["grouping"], p["ordering"]
+    grouped = grouping != ""
     shows = (
-        F.when(select_list.rlike(rf"(?i)^{AGG_CALL}$"), "value")
-        .when((group != "") & (F.lower(bare_name(select_list)) == F.lower(bare_name(group))), "group")
-        .when((group != "") & select_list.rlike(rf"(?i)^{NAME}\s*,\s*{AGG_CALL}$"), "both")
+        F.when(p["listed"].rlike(rf"(?i)^{AGG_CALL}$"), "value")
+        .when(grouped & (F.lower(bare_name(p["listed"])) == F.lower(bare_name(grouping))), "group")
+        .when(grouped & p["listed"].rlike(rf"(?i)^{NAME}\s*,\s*{AGG_CALL}$"), "both")
     )
-    single = (F.size(sql_tables(F.upper(q))) == 1) & ~q.rlike(r"(?i)\b(join|union|intersect|except|having)\b") & (
-        F.size(F.regexp_extract_all(F.upper(q), F.lit(r"\bSELECT\b"), F.lit(0))) == 1
+    unspaced = lambda text: F.lower(F.regexp_replace(text, " ", ""))
+    ok = (
+        ((listed_call != "") | (ordered_call != ""))
+        & shows.isNotNull()
+        & p["preds"].isNotNull()
+        & ((ordering == "") | ordering.rlike(PLAIN_ORDER))
+        & ((listed_call == "") | (ordered_call == "") | (unspaced(listed_call) == unspaced(ordered_call)))
+        & (grouped | ~q.rlike(r"(?i)\bgroup by\b"))
+        & ~q.rlike(r"(?i)\b(join|union|intersect|except|having)\b")
+        & (F.size(sql_tables(p["up"])) == 1)
+        & (F.size(F.regexp_extract_all(p["up"], F.lit(r"\bSELECT\b"), F.lit(0))) == 1)
     )
-    plain_order = (order == "") | order.rlike(rf"(?i)^(?:{AGG_CALL}|{NAME})(?:\s+(?:asc|desc))?$")
-    same_call = (listed_call == "") | (ordered_call == "") | (
-        F.lower(F.regexp_replace(listed_call, " ", "")) == F.lower(F.regexp_replace(ordered_call, " ", ""))
-    )
-    wheres = predicates(where_text(sql))
-    grouped_if_said = (group != "") | ~q.rlike(r"(?i)\bgroup by\b")
-    ok = single & shows.isNotNull() & (call != "") & plain_order & same_call & wheres.isNotNull() & grouped_if_said
-    return F.struct(
-        F.when(ok, F.lower(F.regexp_extract(call, f"(?i){AGG_CALL}", 1))).alias("func"),
-        bare_name(F.regexp_extract(call, f"(?i){AGG_CALL}", 2)).alias("target"),
-        F.when(group != "", bare_name(group)).alias("group_col"),
-        shows.alias("shows"),
-        F.when(order == "", "none").when(ordered_call != "", "value").otherwise("group").alias("order_by"),
-        order.rlike(r"(?i)\bdesc$").alias("descending"),
-        limit_of(sql).alias("row_limit"),
-        wheres.alias("preds"),
+    call = F.when(listed_call != "", listed_call).otherwise(ordered_call)
+    return F.when(
+        ok,
+        F.struct(
+            F.lower(F.regexp_extract(call, f"(?i){AGG_CALL}", 1)).alias("func"),
+            bare_name(F.regexp_extract(call, f"(?i){AGG_CALL}", 2)).alias("target"),
+            F.when(grouped, bare_name(grouping)).alias("group_col"),
+            shows.alias("shows"),
+            F.when(ordering == "", "none").when(ordered_call != "", "value").otherwise("group").alias("order_by"),
+            ordering.rlike(r"(?i)\bdesc$").alias("descending"),
+            limit_of(q).alias("row_limit"),
+            p["preds"].alias("preds"),
+        ),
     )

@@ -121,7 +121,7 @@ def _limit_rows(df: DataFrame, order: list[Column], salt: Column) -> DataFrame:
 
 def aggregate_specs(queries: DataFrame, tables: DataFrame) -> DataFrame:
     """Single-table aggregates among (sample_id, sql), resolved against their table."""
-    parsed = queries.select("sample_id", "sql", aggregate_spec(F.col("sql")).alias("spec")).filter("spec.func IS NOT NULL")
+    parsed = queries.select("sample_id", "sql", aggregate_spec(F.col("sql")).alias("spec")).filter("spec IS NOT NULL")
     found = _of_tables(parsed, tables)
     at = lambda name: _position(F.col("columns"), name)
     resolved = found.select(

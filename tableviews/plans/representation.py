@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tableviews.operators import verbalize
 from tableviews.schema import TABLE_KEY
+from tableviews.session import stored
 
 
 class Representation(NamedTuple):
@@ -33,7 +34,7 @@ def by_column(tables: DataFrame, rows: DataFrame, sets: DataFrame, seed: int = v
     Tables without a set, and tables of which no row is complete, stay as they are.
     """
     chosen = verbalize.choose_template_sets(tables, sets, seed)
-    described = verbalize.describe_rows(rows, chosen, seed)
+    described = stored(verbalize.describe_rows(rows, chosen, seed))
     status = verbalize.table_status(chosen, described)
     told = status.filter(F.col("status") == verbalize.VERBALIZED)
     untold = status.filter(F.col("status") != verbalize.VERBALIZED).select(*TABLE_KEY)
@@ -62,7 +63,7 @@ def by_row(
     that got none keep all their rows in both versions.
     """
     chosen = verbalize.choose_template_sets(tables, sets, seed)
-    split = verbalize.split_rows(rows, chosen, ratio, seed)
+    split = stored(verbalize.split_rows(rows, chosen, ratio, seed))
     parts = verbalize.paragraphs(split)
     status = verbalize.table_status(chosen, split)
     told = status.filter(F.col("status") == verbalize.VERBALIZED)

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Session setting that remembers our own folder.
+OWN_FOLDER = "tableviews.folder"
 
 # Runtime SQL settings: skewed joins are split even when that costs an extra
 # exchange, partitions are coalesced after a shuffle, times are read as UTC.
@@ -41,3 +47,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the cluster's, or one of our own where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set(OWN_FOLDER, folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once and go on from its files.
+
+    For results that several outputs are made of: they are computed once, their
+    lineage ends here, and readers take only the columns they need.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/tableviews-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
