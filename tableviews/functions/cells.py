@@ -69,6 +69,11 @@ def is_meaningful(flat: Column) -> Column:
     return F.coalesce((F.size(flat) > 0) & says_something & ~only_zero, F.lit(False))
 
 
+def has_value(v: Column) -> Column:
+    """Neither missing nor JSON null."""
+    return v.isNotNull() & (variant_type(v) != "VOID")
+
+
 def is_falsy(v: Column) -> Column:
     """Missing, null, empty text, zero, false, or an empty list or object."""
     text = v.cast("string")

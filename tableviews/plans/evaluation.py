@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tableviews.functions import replies
+from tableviews.functions.cells import has_value, is_falsy
 from tableviews.operators import exchange, prompts, scoring
 
 
@@ -31,7 +32,7 @@ def qa_results(views: DataFrame, samples: DataFrame, answered: DataFrame) -> Dat
         .otherwise(F.col("__a.prediction"))
     )
     read = back.select("sample_id", "view", prediction.alias("prediction"), error.alias("error"))
-    known = samples.filter(F.col("answer").isNotNull()).select(
+    known = samples.filter(has_value(F.col("answer"))).select(
         "sample_id", "question", F.to_json("answer").alias("ground_truth"), replies.normalize_answer(F.col("answer")).alias("truth_norm")
     )
     joined = read.join(known, "sample_id").withColumn("prediction_norm", F.lower("prediction"))
@@ -66,8 +67,6 @@ def repair_requests(requests: DataFrame, failed: DataFrame, dialect: str = "Spar
 
 def judge_requests(results: DataFrame) -> DataFrame:
     """Judge requests of all results whose truth (VARIANT ``answer``) counts."""
-    from tableviews.functions.cells import is_falsy
-
     counted = results.filter(~is_falsy(F.col("answer")))
     prompt = prompts.judge_prompt(F.coalesce(F.trim("prediction"), F.lit("None")), replies.judge_text(F.col("answer")))
     return exchange.make_requests(counted, "judge", ["sample_id"], prompt)
