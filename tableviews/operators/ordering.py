@@ -63,21 +63,43 @@ def hash_splits(h: Column, n_rows: Column, rows_per_split: int = ROWS_PER_SLICE)
     return F.floor(h * n_splits / F.lit(float(1 << 32))).cast("bigint")
 
 
-def mark_fraction(
-    df: DataFrame, keys: Sequence[str], ratio: float, h: Column, tie: Sequence[str], n_rows: Column
+def fraction_bounds(
+    df: DataFrame, keys: Sequence[str], ratio: float, h: Column, tie: str, n_rows: Column
 ) -> DataFrame:
-    """Add ``taken``: exactly ``floor(n * ratio)`` rows per key, those with the lowest hash.
+    """Per key the last row of its first ``floor(n * ratio)`` rows in hash order, as (keys, last_h, last_tie).
 
-    Nothing is taken when that is less than one row or all of them.  ``n_rows``
-    is an upper bound of the key's rows that every row carries.
+    Rows up to this one are the exact fraction, so the rows themselves need no rank
+    and can be marked where they are.  Keys of which the fraction is no row, or all
+    rows, have no bound.  ``n_rows`` is an upper bound of the key's rows that every
+    row carries; only long tables are cut into several splits, and of those only the
+    split that holds the bound is sorted.
     """
-    hashed = df.withColumn("__h", h)
-    ranked = running_totals(
-        hashed, keys, ["__h", *tie], [hash_splits(F.col("__h"), n_rows)], {"__n": F.lit(1).cast("bigint")}
-    )
-    goal = F.floor(F.col("__n_all") * F.lit(ratio))
-    taken = (goal >= 1) & (goal < F.col("__n_all")) & (F.col("__n_run") <= goal)
-    return ranked.withColumn("taken", taken).drop("__h", "__n_run", "__n_all")
+    narrow = df.select(*keys, F.col(tie).alias("__tie"), h.alias("__h"), n_rows.alias("__max"))
+    narrow = narrow.withColumn("__split", hash_splits(F.col("__h"), F.col("__max"))).drop("__max")
+    whole = Window.partitionBy(*keys)
+    counts = narrow.groupBy(*keys, "__split").agg(F.count("*").alias("__n"))
+    placed = counts.withColumns(
+        {
+            "__before": F.coalesce(F.sum("__n").over(whole.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "__all": F.sum("__n").over(whole),
+        }
+    ).withColumn("__goal", F.floor(F.col("__all") * F.lit(ratio)))
+    holding = placed.filter(
+        (F.col("__goal") >= 1)
+        & (F.col("__goal") < F.col("__all"))
+        & (F.col("__before") < F.col("__goal"))
+        & (F.col("__goal") <= F.col("__before") + F.col("__n"))
+    ).select(*keys, "__split", (F.col("__goal") - F.col("__before")).alias("__nth"))
+    inside = Window.partitionBy(*keys, "__split").orderBy("__h", "__tie")
+    ranked = narrow.join(holding, [*keys, "__split"]).withColumn("__rank", F.row_number().over(inside))
+    last = ranked.filter(F.col("__rank") == F.col("__nth"))
+    return last.select(*keys, F.col("__h").alias("last_h"), F.col("__tie").alias("last_tie"))
+
+
+def within_bound(h: Column, tie: Column) -> Column:
+    """Whether a row belongs to the fraction of its key, once the bound is joined."""
+    inside = (h < F.col("last_h")) | ((h == F.col("last_h")) & (tie <= F.col("last_tie")))
+    return F.coalesce(inside, F.lit(False))
 
 
 def top_per_group(

@@ -43,7 +43,9 @@ def label_failures(parsed: DataFrame, text: str = "text") -> DataFrame:
 
 def label_rows(parsed: DataFrame) -> DataFrame:
     """One row per (db, table, column) with its label."""
-    return parsed.filter("NOT failed").select("db", "table_name", F.explode("labels").alias("column", "label"))
+    # failed replies have no labels; the outer form keeps Spark from reading replies once more to filter them
+    rows = parsed.select("db", "table_name", F.explode_outer("labels").alias("column", "label"))
+    return rows.filter(F.col("column").isNotNull())
 
 
 def accepted_combinations() -> Column:
@@ -54,9 +56,8 @@ def accepted_combinations() -> Column:
 
 def combination_rows(parsed: DataFrame) -> DataFrame:
     """One row per accepted combination, numbered inside its table."""
-    return parsed.filter("NOT failed").select(
-        "db", "table_name", F.posexplode(accepted_combinations()).alias("set_no", "columns")
-    )
+    rows = parsed.select("db", "table_name", F.posexplode_outer(accepted_combinations()).alias("set_no", "columns"))
+    return rows.filter(F.col("set_no").isNotNull())
 
 
 def widest(combinations: DataFrame) -> DataFrame:

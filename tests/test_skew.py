@@ -44,17 +44,25 @@ def test_number_rows_is_dense(skewed):
         assert seen == set(range(n))
 
 
+def _taken(df, ratio):
+    """Rows with ``taken``; df is (k, v, n)."""
+    h = stable_hash(1, "k", "v")
+    bounds = ordering.fraction_bounds(df, ["k"], ratio, h, "v", F.col("n"))
+    return df.join(bounds, "k", "left").withColumn("taken", ordering.within_bound(h, F.col("v")))
+
+
 @pytest.mark.parametrize("ratio", [0.3, 0.5])
-def test_fraction_is_exact(spark, skewed, ratio, monkeypatch):
+def test_fraction_is_exact(skewed, ratio, monkeypatch):
     data, df = skewed
     # splits of 50 rows, so that the frequent key is ranked over many of them
-    monkeypatch.setattr(ordering, "hash_splits", lambda h, n, rows_per_split=50, real=ordering.hash_splits: real(h, n, 50))
+    monkeypatch.setattr(ordering, "hash_splits", lambda h, n, real=ordering.hash_splits: real(h, n, 50))
     counts = df.groupBy("k").agg(F.count("*").alias("n"))
-    out = ordering.mark_fraction(df.join(counts, "k"), ["k"], ratio, stable_hash(1, "k", "v"), ["v"], F.col("n"))
-    again = ordering.mark_fraction(df.repartition(7).join(counts, "k"), ["k"], ratio, stable_hash(1, "k", "v"), ["v"], F.col("n"))
+    out = _taken(df.join(counts, "k"), ratio)
+    again = _taken(df.repartition(7).join(counts, "k"), ratio)
     taken = defaultdict(list)
     for r in out.collect():
         taken[r.k].append(r.taken)
+    assert sum(len(rows) for rows in taken.values()) == len(data)
     for rows in taken.values():
         goal = int(len(rows) * ratio)
         assert sum(rows) == (goal if 1 <= goal < len(rows) else 0)
@@ -64,7 +72,7 @@ def test_fraction_is_exact(spark, skewed, ratio, monkeypatch):
 @pytest.mark.parametrize("n,expected", [(1, 0), (2, 1), (3, 1), (10, 5)])
 def test_fraction_of_short_tables(spark, n, expected):
     df = spark.range(n).select(F.lit("t").alias("k"), F.col("id").alias("v"), F.lit(n).alias("n"))
-    out = ordering.mark_fraction(df, ["k"], 0.5, stable_hash(1, "v"), ["v"], F.col("n"))
+    out = _taken(df, 0.5)
     assert out.filter("taken").count() == expected and out.count() == n
 
 

@@ -34,7 +34,7 @@ TAGGED = [
     ("SELECT a FROM t ORDER BY b DESC LIMIT 1", ["Max/Min", "Ranking"]),
     ("SELECT a FROM t JOIN u ON t.k = u.k AND u.n = 3", ["Join"]),
     ("SELECT a FROM t JOIN u ON t.k = 3 WHERE t.n > 2", ["Join", "Comparison"]),
-    ("SELECT a FROM t WHERE b = 'max order, limit 1, 3 = 3'", ["SimpleProjection"]),
+    ("SELECT a FROM t WHERE b = 'max of 3 = 3'", ["SimpleProjection"]),
     ("SELECT a FROM t WHERE b = 'the sum'", []),
     ("SELECT SUM(x) FROM t GROUP BY y HAVING SUM(x) > 3 ORDER BY 1", ["Aggregation", "Ranking", "Comparison"]),
 ]

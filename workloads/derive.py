@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tableviews.operators.ordering import number_rows
+from tableviews.session import spread
 
 LINE_COLUMNS = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
@@ -46,6 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for heavy work per row, dealt out to all cores if it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def names(columns: list[str]) -> Column:
     return F.array(*[F.lit(c) for c in columns])
 
@@ -62,7 +68,7 @@ def duck(expr: str) -> str:
 
 def order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, ord, db, sql): one sample per order."""
-    return table(spark, sf_dir, "orders").select(
+    return spread_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("sample_id"),
         F.col("o_orderkey").alias("ord"),
         F.col("o_orderpriority").alias("db"),

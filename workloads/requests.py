@@ -9,7 +9,7 @@ from tableviews.operators import exchange, profile, prompts, reshape, templates
 from tableviews.plans import evaluation
 from workloads.derive import (
     CUSTOMER_SAMPLES, LINE_COLUMNS, ORDER_COLUMNS, ORDER_HEADERS, ORDER_ROWS, ORDER_SAMPLES, customer_rows, customer_samples,
-    customer_tables, joined, names, order_headers, table, with_ctes,
+    customer_tables, joined, names, order_headers, spread_table, table, with_ctes,
 )
 from workloads.registry import query
 
@@ -234,7 +234,7 @@ _LABELS = """CASE o_orderkey % 6
 
 
 def _label_replies(spark, sf_dir):
-    replied = table(spark, sf_dir, "orders").select(
+    replied = spread_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("db"), F.lit("t").alias("table_name"), F.expr(_LABELS).alias("text")
     )
     return templates.parse_labels(replied)
@@ -291,7 +291,7 @@ _TEMPLATES = """CASE o_orderkey % 4
  CASE WHEN o_orderkey % 4 = 0 THEN 'D {x}' ELSE 'ERROR' END AS template4, CASE WHEN o_orderkey % 4 = 0 THEN 'E {x}' ELSE 'ERROR' END AS template5 FROM orders""",
 )
 def fill_templates(spark, sf_dir):
-    replied = table(spark, sf_dir, "orders").select(
+    replied = spread_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("db"), F.lit("t").alias("table_name"), F.lit("x").alias("column1"), F.expr(_TEMPLATES).alias("text")
     )
     return templates.ensure_template_columns(templates.attach_templates(replied).drop("text")).drop("table_name")
@@ -334,7 +334,7 @@ def markdown_rows(spark, sf_dir):
     """Markdown tables in texts: header, and the rows of the same arity."""
     docs = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("|")))
     parsed = docs.select("doc_id", markdown.parse_table(F.col("text")).alias("t"))
-    return parsed.select("doc_id", F.size("t.columns").alias("n_columns"), F.explode("t.rows").alias("r")).select(
+    return parsed.select("doc_id", F.size("t.columns").alias("n_columns"), F.explode_outer("t.rows").alias("r")).filter(F.col("r").isNotNull()).select(
         "doc_id", "n_columns", joined("r", "~").alias("cells")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tableviews.functions import cells as cell_functions
 from tableviews.functions import replies
 from tableviews.operators import exchange, scoring
-from workloads.derive import table
+from workloads.derive import spread_table, table
 from workloads.registry import query
 
 # Replies of seven shapes; numbers, lists, nothing to read.
@@ -22,7 +22,7 @@ _REPLY = """CASE o_orderkey % 7
 
 
 def _replies(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.expr(_REPLY).alias("text"), "*")
+    return spread_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.expr(_REPLY).alias("text"), "*")
 
 
 _EXTRACTED = """extracted AS (SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CASE o_orderkey % 7
@@ -55,7 +55,7 @@ _TRUTH = """CASE o_orderkey % 5
  WHEN 3 THEN concat('{"a":"', o_orderstatus, '","b":["x:y",1]}') ELSE '' END AS judged FROM orders""",
 )
 def normalize_answers(spark, sf_dir):
-    truth = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.parse_json(F.expr(_TRUTH)).alias("v"))
+    truth = spread_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.parse_json(F.expr(_TRUTH)).alias("v"))
     return truth.select("sample_id", replies.normalize_answer(F.col("v")).alias("truth"), replies.judge_text(F.col("v")).alias("judged"))
 
 
@@ -174,7 +174,7 @@ _IDS = """CASE o_orderkey % 4 WHEN 0 THEN concat('{"id_": "', CAST(o_orderkey AS
 def field_fallbacks(spark, sf_dir):
     from tableviews.operators import reshape
 
-    records = table(spark, sf_dir, "orders").select(
+    records = spread_table(spark, sf_dir, "orders").select(
         "o_orderkey", F.concat(F.lit("row"), F.col("o_orderkey").cast("string")).alias("ord"), F.parse_json(F.expr(_IDS)).alias("record")
     )
     return records.select("o_orderkey", reshape.record_id().alias("sample_id"), F.to_json(reshape.record_truth()).alias("truth"))
