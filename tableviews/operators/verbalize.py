@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableviews.functions.binding import bind
 from tableviews.functions.hashing import stable_hash
 from tableviews.functions.text import fill_template
 from tableviews.operators.ordering import fraction_bounds, spread_join, within_bound
@@ -38,17 +39,18 @@ def choose_template_sets(tables: DataFrame, sets: DataFrame, seed: int = SEED) -
         F.array_sort(F.collect_list(F.struct("set_no", F.col("columns").alias("names"), "templates"))).alias("__sets")
     )
     joined = spread_join(tables, candidates, ["db", "table_name"], TABLE_KEY, "left")
-    fitting = F.filter("__sets", lambda s: contained(s["names"], F.col("columns")))
-    draw = F.pmod(stable_hash(seed, "sample_id", "table_pos"), F.greatest(F.size("__fit"), F.lit(1)))
-    chosen = joined.withColumn("__fit", fitting).withColumn("__set", F.get("__fit", draw.cast("int")))
-    return chosen.withColumns(
-        {
-            "set_no": F.col("__set.set_no"),
-            "set_columns": F.col("__set.names"),
-            "templates": F.col("__set.templates"),
-            "set_positions": positions_in(F.col("columns"), F.col("__set.names")),
-        }
-    ).drop("__sets", "__fit", "__set")
+    draw = lambda fit: F.pmod(stable_hash(seed, "sample_id", "table_pos"), F.greatest(F.size(fit), F.lit(1))).cast("int")
+    picked = bind(
+        F.filter("__sets", lambda s: contained(s["names"], F.col("columns"))), lambda fit: F.slice(fit, draw(fit) + 1, F.lit(1))
+    )
+    # a slice of one set or none: as rows, so that later filters do not make the choice again
+    return joined.select(*tables.columns, F.explode_outer(picked).alias("__set")).select(
+        *tables.columns,
+        F.col("__set.set_no").alias("set_no"),
+        F.col("__set.names").alias("set_columns"),
+        F.col("__set.templates").alias("templates"),
+        positions_in(F.col("columns"), F.col("__set.names")).alias("set_positions"),
+    )
 
 
 def complete_rows(rows: DataFrame, chosen: DataFrame, *fields: str) -> DataFrame:

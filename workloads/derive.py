@@ -112,8 +112,8 @@ def order_rows(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFra
     numbered = number_rows(
         lines,
         ["l_orderkey"],
-        ["l_linenumber", "l_partkey", "l_suppkey"],
-        [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536).cast("bigint")],
+        ["l_partkey", "l_suppkey", "l_linenumber"],
+        [F.floor(F.col("l_partkey") / 1048576).cast("bigint")],
     )
     cells = _texts(LINE_COLUMNS)
     kinds = [F.lit(t) for t in LINE_TYPES]
@@ -134,7 +134,7 @@ def order_rows(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFra
 
 LINE_ROWS = """line_rows AS (
  SELECT CAST(l_orderkey AS VARCHAR) AS sample_id,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS row_pos, *
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS row_pos, *
  FROM lineitem)"""
 
 
