@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tableviews.functions.binding import bind, with_computed
 from tableviews.functions.cells import INTEGER_TEXT, number_of
 from tableviews.functions.sqltext import (
     aggregate_spec, is_distinct, is_lookup, limit_of, one_line, predicates, select_names, sql_tables, where_text,
@@ -72,16 +73,20 @@ def _of_tables(queries: DataFrame, tables: DataFrame) -> DataFrame:
 
 def lookup_specs(queries: DataFrame, tables: DataFrame) -> DataFrame:
     """Lookups among (sample_id, sql), resolved against their table."""
-    text = F.rtrim(one_line(F.col("sql")), F.lit("; "))
-    lookups = queries.select("sample_id", text.alias("sql")).filter(is_lookup(F.col("sql"))).withColumns(
-        {
-            "preds": predicates(where_text(F.col("sql"))),
-            "names": select_names(F.col("sql")),
-            "dedupe": is_distinct(F.col("sql")),
-            "row_limit": limit_of(F.col("sql")),
-        }
+    spec = bind(
+        F.rtrim(one_line(F.col("sql")), F.lit("; ")),
+        lambda q: F.when(
+            is_lookup(q),
+            F.struct(
+                predicates(where_text(q)).alias("preds"),
+                select_names(q).alias("names"),
+                is_distinct(q).alias("dedupe"),
+                limit_of(q).alias("row_limit"),
+            ),
+        ),
     )
-    found = _of_tables(lookups, tables)
+    lookups = with_computed(queries.select("sample_id", "sql"), "spec", spec).filter(F.col("spec").isNotNull())
+    found = _of_tables(lookups, tables).select("sample_id", "table_pos", "columns", "n_rows", "spec.*")
     every = F.transform("columns", lambda _, i: i)
     shown_at = F.flatten(
         F.transform("names", lambda n: F.when(n == "*", every).otherwise(F.array(_position(F.col("columns"), n))))
@@ -121,7 +126,7 @@ def _limit_rows(df: DataFrame, order: list[Column], salt: Column) -> DataFrame:
 
 def aggregate_specs(queries: DataFrame, tables: DataFrame) -> DataFrame:
     """Single-table aggregates among (sample_id, sql), resolved against their table."""
-    parsed = queries.select("sample_id", "sql", aggregate_spec(F.col("sql")).alias("spec")).filter("spec IS NOT NULL")
+    parsed = with_computed(queries.select("sample_id", "sql"), "spec", aggregate_spec(F.col("sql"))).filter("spec IS NOT NULL")
     found = _of_tables(parsed, tables)
     at = lambda name: _position(F.col("columns"), name)
     resolved = found.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableviews.functions.binding import with_computed
 from tableviews.functions.hashing import stable_hash
 from tableviews.functions.sqltext import is_pure_lookup, sql_tables, sql_tags, sql_type
 from tableviews.operators.ordering import spread_join, top_per_group
@@ -27,7 +28,7 @@ ROW_CAP = 1000
 
 def tag_queries(samples: DataFrame) -> DataFrame:
     """Add the tables, tags and type label of every SQL text."""
-    tagged = samples.withColumns({"sql_tables": sql_tables(F.col("sql")), "sql_tags": sql_tags(F.col("sql"))})
+    tagged = with_computed(samples, "sql_tags", sql_tags(F.col("sql"))).withColumn("sql_tables", sql_tables(F.col("sql")))
     return tagged.withColumns(
         {"sql_type": sql_type(F.col("sql_tags")), "table_name": F.get("sql_tables", F.lit(0))}
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableviews.functions.binding import with_computed
 from tableviews.functions.cells import is_blank
 from tableviews.functions.replies import parse_label_reply, parse_template_reply
 from tableviews.functions.text import template_fits
@@ -33,7 +34,8 @@ def columns_to_verbalize() -> Column:
 
 def parse_labels(replies: DataFrame, text: str = "text") -> DataFrame:
     """Add ``labels``, ``combinations`` and ``failed`` to replies per (db, table_name)."""
-    return replies.withColumn("__p", parse_label_reply(F.coalesce(F.col(text), F.lit("")))).select(*replies.columns, "__p.*")
+    parsed = with_computed(replies, "__p", parse_label_reply(F.coalesce(F.col(text), F.lit(""))))
+    return parsed.select(*replies.columns, "__p.*")
 
 
 def label_failures(parsed: DataFrame, text: str = "text") -> DataFrame:
@@ -93,7 +95,7 @@ def attach_templates(combinations: DataFrame, text: str = "text", n: int = N_TEM
 
     A reply that is no JSON object, and a name it does not hold, give the failure mark.
     """
-    parsed = combinations.withColumn("__t", parse_template_reply(F.coalesce(F.col(text), F.lit(""))))
+    parsed = with_computed(combinations, "__t", parse_template_reply(F.coalesce(F.col(text), F.lit(""))))
     return parsed.withColumns(
         {f"template{i}": F.coalesce(F.get("__t", F.lit(i - 1)), F.lit(FAILED_TEMPLATE)) for i in range(1, n + 1)}
     ).drop("__t")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tableviews.functions import replies
+from tableviews.functions.binding import with_computed
 from tableviews.functions.cells import has_value, is_falsy
 from tableviews.operators import exchange, prompts, scoring
 
@@ -24,7 +25,7 @@ def qa_results(views: DataFrame, samples: DataFrame, answered: DataFrame) -> Dat
     keyed = views.select("sample_id", "view", "n_tokens_est", F.col("error").alias("skipped")).withColumns(
         {"kind": F.lit("answer"), "request_id": exchange.request_id("answer", "sample_id", "view")}
     )
-    back = exchange.attach_replies(keyed, answered).withColumn("__a", replies.extract_answer(F.coalesce("text", F.lit(""))))
+    back = with_computed(exchange.attach_replies(keyed, answered), "__a", replies.extract_answer(F.coalesce("text", F.lit(""))))
     error = F.coalesce("skipped", "error", "__a.error")
     prediction = (
         F.when(F.col("skipped").isNotNull(), prompts.skipped_prediction(F.col("n_tokens_est")))

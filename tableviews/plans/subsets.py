@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tableviews.functions.binding import with_computed
 from tableviews.functions.markdown import parse_table
 from tableviews.operators import selection
 from tableviews.operators.ordering import spread_join
@@ -56,7 +57,7 @@ def markdown_subset(
         "answer", F.try_variant_get("golden", f"$[0].{ANSWER_LIST}[0].{FINAL_ANSWER}[0]", "string")
     )
     flat = selection.latest_meta(meta).filter(~F.col("struct_type").isin(list(excluded)))
-    parsed = flat.withColumn("t", parse_table(F.coalesce("markdown", F.lit("")))).withColumns(
+    parsed = with_computed(flat, "t", parse_table(F.coalesce("markdown", F.lit("")))).withColumns(
         {"columns": F.col("t.columns"), "rows": F.col("t.rows"), "n_rows": F.size("t.rows").cast("bigint")}
     )
     fitting = parsed.filter(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tableviews.functions.binding import with_computed
 from tableviews.functions import cells as cell_functions
 from tableviews.functions import replies
 from tableviews.operators import exchange, scoring
@@ -34,7 +35,7 @@ _EXTRACTED = """extracted AS (SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, C
 
 @query("extract_answers", f"WITH {_EXTRACTED} SELECT sample_id, prediction, error FROM extracted")
 def extract_answers(spark, sf_dir):
-    read = _replies(spark, sf_dir).select("sample_id", replies.extract_answer(F.col("text")).alias("a"))
+    read = with_computed(_replies(spark, sf_dir), "a", replies.extract_answer(F.col("text")))
     return read.select("sample_id", "a.prediction", "a.error")
 
 
