@@ -180,7 +180,10 @@ def row_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shares(df: DataFrame, *keys: str) -> DataFrame:
-    """Count and share of every key combination, most frequent first."""
+    """Count and share of every key combination, most frequent first.
+
+    For keys of few values, such as tags and reasons: the counts meet in one task.
+    """
     counted = df.groupBy(*keys).agg(F.count("*").alias("count"))
     total = F.sum("count").over(Window.partitionBy(F.lit(1)))
     return counted.withColumn("share", F.col("count") / total).orderBy(F.desc("count"), *keys)

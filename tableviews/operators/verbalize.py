@@ -12,6 +12,7 @@ from tableviews.operators.reshape import cells_at, complete_in, positions_in, wi
 from tableviews.schema import ROWS_PER_PART, TABLE_KEY
 
 SEED = 42
+TABLES_PER_BLOCK = 100
 ROW_RATIO = 0.5
 
 # Status of a table after verbalization.
@@ -133,9 +134,14 @@ def text_segments(parts: DataFrame) -> DataFrame:
 
 
 def nested_segments(parts: DataFrame) -> DataFrame:
-    """Segments of a sample as ``verbalized_data``; one element per table of the sample and part."""
-    listed = F.array_sort(F.collect_list(F.struct("table_pos", "part", "text")))
-    return text_segments(parts).groupBy("sample_id").agg(
+    """Segments as ``verbalized_data``, as (sample_id, table_block, part, verbalized_data).
+
+    A usual sample has one row, with block and part 0.  Further rows continue samples of
+    very many tables or very long ones.
+    """
+    block = F.floor(F.col("table_pos") / F.lit(TABLES_PER_BLOCK)).cast("bigint")
+    listed = F.array_sort(F.collect_list(F.struct("table_pos", "text")))
+    return text_segments(parts).withColumn("table_block", block).groupBy("sample_id", "table_block", "part").agg(
         F.transform(listed, lambda s: F.struct(s["text"].alias("text"))).alias("verbalized_data")
     )
 

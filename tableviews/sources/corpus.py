@@ -4,38 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tableviews.operators.ordering import number_rows
+from tableviews.session import spread
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """A file that holds one list of records, as (ord, record).
 
-    One file is one task's work; a large corpus should come as JSON lines.
+    One task reads the file; the records are then dealt out to all cores.  A large
+    corpus should come as JSON lines.
     """
     text = spark.read.text(path, wholetext=True)
     listed = text.select(F.posexplode(F.from_json("value", "array<variant>")).alias("ord", "record"))
-    return listed.select(F.col("ord").cast("bigint").alias("ord"), "record")
+    return spread(listed.select(F.col("ord").cast("bigint").alias("ord"), "record"))
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One record per line, as (ord, record); lines that are no JSON are left out.
 
-    ``ord`` follows file name, place of the split in the file, and line.  Lines are
-    counted per split and only the counts are accumulated over the whole input.
+    ``ord`` follows file name, place of the split in the file, and line.  Only the line
+    counts of the splits are accumulated; the lines get the offset of their split by a
+    join with that short list and are not sorted or moved for it.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__line"),
         "value",
-    ).filter(F.trim("value") != "")
-    one_input = lines.withColumn("__all", F.lit(0))
-    numbered = number_rows(one_input, ["__all"], ["__line"], [F.col("__file"), F.col("__start")])
-    return numbered.select(F.col("row_pos").alias("ord"), F.try_parse_json("value").alias("record")).filter(
-        F.col("record").isNotNull()
     )
+    splits = lines.groupBy("__file", "__start").agg(F.min("__line").alias("__first"), F.count("*").alias("__n"))
+    in_order = Window.partitionBy(F.lit(0)).orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__file", "__start", "__first", F.coalesce(F.sum("__n").over(in_order), F.lit(0)).alias("__before"))
+    placed = lines.join(offsets, ["__file", "__start"])
+    parsed = placed.select(
+        (F.col("__before") + F.col("__line") - F.col("__first")).alias("ord"), F.try_parse_json("value").alias("record")
+    )
+    return parsed.filter(F.col("record").isNotNull())
 
 
 def read_splits(spark: SparkSession, paths: Mapping[str, str], lines: bool = False) -> DataFrame:

@@ -16,6 +16,8 @@ LINE_COLUMNS = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
     "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
+# Row order of a line-item table; the three keys alone repeat in the smallest tables.
+LINE_ORDER = ["l_partkey", "l_suppkey", "l_linenumber", *[c for c in LINE_COLUMNS if not c.endswith(("key", "number"))]]
 LINE_TYPES = ["BIGINT"] * 3 + ["DOUBLE"] * 4 + ["STRING"] * 3
 ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 ORDER_TYPES = ["BIGINT", "STRING", "DOUBLE", "STRING", "STRING"]
@@ -112,7 +114,7 @@ def order_rows(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFra
     numbered = number_rows(
         lines,
         ["l_orderkey"],
-        ["l_partkey", "l_suppkey", "l_linenumber"],
+        LINE_ORDER,
         [F.floor(F.col("l_partkey") / 1048576).cast("bigint")],
     )
     cells = _texts(LINE_COLUMNS)
@@ -132,9 +134,9 @@ def order_rows(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFra
     )
 
 
-LINE_ROWS = """line_rows AS (
+LINE_ROWS = f"""line_rows AS (
  SELECT CAST(l_orderkey AS VARCHAR) AS sample_id,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS row_pos, *
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) - 1 AS row_pos, *
  FROM lineitem)"""
 
 
