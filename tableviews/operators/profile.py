@@ -159,12 +159,12 @@ def column_types(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     A column of only missing values is TEXT.
     """
     keys = keys or [*TABLE_KEY, "column"]
-    filled = cells.filter(F.col("value").isNotNull() & (F.col("vtype") != "VOID"))
-    voters = top_per_group(filled.select(*keys, "row_pos", "value", "vtype"), keys, ["row_pos"], TYPE_VOTE_ROWS)
-    voted = voters.groupBy(*keys).agg(
-        vote_sql_type(F.collect_list("vtype"), F.collect_list("value")).alias("sql_type")
-    )
-    return cells.select(*keys).distinct().join(voted, keys, "left").withColumn("sql_type", F.coalesce("sql_type", F.lit("TEXT")))
+    filled = F.col("value").isNotNull() & (F.col("vtype") != "VOID")
+    # missing cells come last, so that a column of them keeps a row and every other column only values
+    marked = cells.select(*keys, "row_pos", "value", "vtype", (~F.coalesce(filled, F.lit(False))).alias("missing"))
+    voters = top_per_group(marked, keys, ["missing", "row_pos"], TYPE_VOTE_ROWS)
+    given = lambda c: F.collect_list(F.when(~F.col("missing"), F.col(c)))
+    return voters.groupBy(*keys).agg(vote_sql_type(given("vtype"), given("value")).alias("sql_type"))
 
 
 def average_table_size(tables: DataFrame) -> DataFrame:
