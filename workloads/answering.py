@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tableviews.functions import cells as cell_functions
 from tableviews.functions import replies
 from tableviews.operators import answers, templates, verbalize
+from tableviews.session import stored
 from workloads.derive import (
     CUSTOMER_SAMPLES, LINE_ROWS, ORDER_ROWS, ORDER_SAMPLES, customer_rows, customer_samples, customer_tables, duck_hash, joined, order_rows,
     order_samples, order_tables, table, with_ctes,
@@ -97,7 +98,8 @@ def recompute_answers(spark, sf_dir):
     """Answers on the complete rows only, after incomplete ones were dropped for verbalization."""
     tables = order_tables(spark, sf_dir)
     chosen = verbalize.choose_template_sets(tables, templates.template_sets(wide_sets(spark, sf_dir)))
-    raw = verbalize.complete_rows(order_rows(spark, sf_dir, nulls=True), chosen)
+    # the raw version is a table of its own, read by lookups and by aggregates
+    raw = stored(verbalize.complete_rows(order_rows(spark, sf_dir, nulls=True), chosen).select("sample_id", "table_pos", "row_pos", "n_rows", "cells"))
     again = answers.recompute_answers(order_samples(spark, sf_dir), tables, raw)
     return again.select("sample_id", "row_pos", F.array_join("answer", " | ", "none").alias("answer"))
 
