@@ -50,9 +50,11 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the cluster's, or one of our own where none is named."""
+    """The shared folder for intermediate tables: the cluster's, or one of our own on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
         spark.conf.set(OWN_FOLDER, folder)
     return folder

@@ -158,3 +158,26 @@ def test_previews(corpus):
     assert got["s2"].splitlines()[1] == "| name (TEXT) | colour (TEXT) | price (INTEGER) | stock (INTEGER) | note, long (TEXT) |"
     assert len(got["s1"].splitlines()) == 6
     assert got["2"] == "Table empty\n| a (TEXT) |\n| --- |\n"
+
+
+def test_sinks(spark, corpus, tmp_path):
+    _, samples, tables, table_rows = corpus
+    source.write_normalized({"tables": tables.drop("content"), "rows": table_rows}, str(tmp_path / "n"))
+    assert spark.read.parquet(str(tmp_path / "n" / "rows")).count() == table_rows.count()
+    gated = samples.withColumn("ok", F.col("sql").isNotNull())
+    source.write_gated(gated, "ok", str(tmp_path / "g"))
+    assert rows(spark.read.json(str(tmp_path / "g")).groupBy("outcome").count(), "outcome", "count") == [("failed", 1), ("kept", 3)]
+    source.write_json_lines(tabular.nested_tables(tables, table_rows), str(tmp_path / "j"))
+    back = source.read_json_lines(spark, str(tmp_path / "j")).select(reshape.field("table_content[0][2]", "string").alias("c"))
+    assert back.filter("c IN ('10', '99')").count() == 2
+
+
+def test_splits_and_versions(spark, tmp_path):
+    record = {"id_": "a", "table_names": ["t"], "tables": [{"table_columns": ["x"], "table_content": [[1]]}],
+              "raw_tables": {"table_names": ["t", "u"], "tables": [{"table_columns": ["x", "y"], "table_content": [[1, 2], [3, 4]]}]}}
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.json").write_text(json.dumps([record]))
+    read = source.read_splits(spark, {n: str(tmp_path / f"{n}.json") for n in ("one", "two")})
+    assert rows(read, "split") == [("one",), ("two",)]
+    assert rows(reshape.tables_of(read, "raw_tables"), "n_rows", "n_cols") == [(2, 2), (2, 2)]
+    assert rows(reshape.tables_of(read), "n_rows", "n_cols") == [(1, 1), (1, 1)]

@@ -8,8 +8,7 @@ from tableviews.functions import markdown, replies, text, wording
 from tableviews.operators import exchange, profile, prompts, reshape, templates
 from tableviews.plans import evaluation
 from workloads.derive import (
-    CUSTOMER_SAMPLES, LINE_COLUMNS, ORDER_COLUMNS, ORDER_HEADERS, ORDER_ROWS, ORDER_SAMPLES, customer_rows, customer_samples,
-    customer_tables, joined, names, order_headers, spread_table, table, with_ctes,
+    CUSTOMER_SAMPLES, ORDER_COLUMNS, ORDER_ROWS, customer_rows, customer_samples, customer_tables, joined, names, spread_table, table, with_ctes,
 )
 from workloads.registry import query
 

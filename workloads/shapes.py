@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tableviews.functions import sqltext
 from tableviews.operators import profile, reshape, selection
+from tableviews.sources import tabular
 from workloads.derive import (
     CUSTOMER_SAMPLES, LINE_COLUMNS, LINE_ROWS, ORDER_COLUMNS, ORDER_SAMPLES, customer_samples, duck_hash, joined, names,
     order_rows, order_samples, order_tables, table, with_ctes,
@@ -231,6 +232,19 @@ def table_columns(spark, sf_dir):
     return selection.columns_of_table(meta).select("db", "table_name", joined("columns").alias("columns"))
 
 
+@query(
+    "catalog_rows",
+    """SELECT 'main' AS db, 'orders' AS table_name, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_pos, count(*) OVER () AS n_rows,
+ CAST(o_orderkey AS VARCHAR) AS first_cell, 'BIGINT,BIGINT,STRING,DOUBLE,STRING,STRING' AS kinds FROM orders""",
+)
+def catalog_rows(spark, sf_dir):
+    """A whole table of a catalog as numbered rows: one key, cut into splits of its order."""
+    rows = tabular.table_as_rows(
+        table(spark, sf_dir, "orders"), "main", "orders", ["o_orderkey"], [F.floor(F.col("o_orderkey") / 1048576).cast("bigint")]
+    )
+    return rows.select("db", "table_name", "row_pos", "n_rows", F.get("cells", F.lit(0)).alias("first_cell"), joined("vtypes", ",").alias("kinds"))
+
+
 @query(
     "database_keys",
     with_ctes(ORDER_SAMPLES)
