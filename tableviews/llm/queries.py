@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableviews.llm import line_dedup, secret_scan, token_counts, token_files, topk_search
+from tableviews.llm import decontamination, jaccard_join, line_dedup, rule_quality, secret_scan, source_mixing, substring_chains, token_counts, token_files, topk_search
+from tableviews.llm.shared import ship_package
 
 # Rows of text in one Arrow batch; long texts make batches of many rows large.
 BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, counted in flat token files without an index."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
@@ -42,12 +49,37 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of each document."""
+    return jaccard_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
+def op8_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    return rule_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probability of each document, and whether it was drawn."""
+    return source_mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share with smaller ones."""
+    return substring_chains.shared_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_exact_topk": op3_exact_topk,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_rule_quality": op8_rule_quality,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_substring_chains": op10_substring_chains,
 }
 
 ORACLES: dict[str, str] = {

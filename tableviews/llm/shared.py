@@ -131,8 +131,27 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return place
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def ship_package(spark: SparkSession) -> None:
+    """Give the tasks of this session the package, once, for clusters where it is not installed."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    import tableviews
+
+    context = spark.sparkContext
+    if getattr(context, "tableviews_shipped", False):
+        return
+    root, buffer = Path(tableviews.__path__[0]), io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"tableviews/{file.relative_to(root)}")
+    place = new_folder(spark, "package")
+    system, path = filesystem(place)
+    with system.open_output_stream(f"{path}/tableviews.zip", compression=None) as out:
+        out.write(buffer.getvalue())
+    context.addPyFile(f"{place}/tableviews.zip")
+    context.tableviews_shipped = True
 
 
 def order_of(id_col: str = "doc_id"):
