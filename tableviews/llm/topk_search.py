@@ -3,10 +3,10 @@
 The index holds, for each block of vectors and each dimension, the block's values in descending order with the
 vectors they belong to (a posting list by impact). A query goes through the postings of all dimensions by
 descending quantised impact |query value * posting value|: at each level it adds the postings between that
-level's bound and the last one's to the vectors' scores. A posting not met yet adds less than the bound, so a
-vector's score lies within (dimensions not met) * bound of what it has. A query stops as soon as the vectors whose
-upper bound reaches the k-th best lower bound are few, and these are scored exactly; when no level proves it, all
-postings are used. Nothing else ends a search, so the result is exact.
+level's bound and the last one's to the vectors' scores. What a vector's other postings add is at most the product
+of the lengths of what is left of the vector and of the query (Cauchy and Schwarz). A query stops as soon as the
+vectors whose upper bound reaches the k-th best exact score of the leading ones are few, and these are scored exactly; when no level
+proves it, all vectors are. Nothing else ends a search, so the result is exact.
 
 Components become floor(256 * x). Vectors that are null, empty or hold null or non-finite components take no part,
 nor do rows without id. Vectors of several lengths meet only vectors of their own length. Rows that repeat id and
@@ -29,8 +29,8 @@ SCALE = 256
 BLOCK_ROWS = 4096
 QUERIES_PER_BATCH = 128
 # Bounds of the impact levels as shares of a query's largest possible impact, and the share of a block that may be rescored.
-LEVELS = (0.5, 0.35, 0.25, 0.18, 0.13, 0.09)
-RESCORED = 0.02
+LEVELS = (0.06, 0.03)
+RESCORED = 0.1
 
 
 def quantised(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -42,21 +42,27 @@ def quantised(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 class ImpactBlock:
-    """The posting lists of one block."""
+    """The posting lists of one block, and where each quantised value level begins in them."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, grid: int = 64):
         """ids in ascending order; values: one row for each vector."""
         self.ids, self.values = ids, values
-        self.order = np.argsort(-values, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.order = np.argsort(-values, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(values, self.order.T, axis=0).T.copy()
-        self.rising = -self.sorted
+        self.largest = np.abs(values).max(axis=0, initial=0)
+        self.step = max(1.0, float(self.largest.max(initial=0)) / (grid - 1))
+        self.grid = grid
+        steps = self.step * np.arange(grid + 1)
+        # postings of at least a level stand before head, those of at most minus the level from tail on
+        self.head = np.array([np.searchsorted(-row, -steps, "right") for row in self.sorted])
+        self.tail = np.array([np.searchsorted(-row, steps, "left") for row in self.sorted])
+        self.squares = (values**2).sum(axis=1)
 
     def top(self, query_id: int, query: np.ndarray, k: int, levels=LEVELS, rescored: float = RESCORED) -> list[tuple[int, int]]:
         """The (vec_id, score) of the k best vectors other than the query's own."""
-        n, dims = self.values.shape
         own = self.ids == query_id
         maybe = np.flatnonzero(~own)
-        few = max(2 * k, int(rescored * n))
+        few = max(2 * k, int(rescored * len(own)))
         if len(maybe) > few:
             maybe = self._candidates(query, k, own, few, levels)
         scores = self.values[maybe] @ query
@@ -66,31 +72,44 @@ class ImpactBlock:
             maybe, scores = maybe[best], scores[best]
         return list(zip(self.ids[maybe].tolist(), scores.astype(np.int64).tolist(), strict=True))
 
+    def _postings(self, query: np.ndarray, dims: np.ndarray, bound: float, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, value, query value) of the postings between the last level and this one; begin and end move inwards."""
+        level = np.minimum(np.ceil(bound / (np.abs(query[dims]) * self.step)), self.grid).astype(np.int64)
+        head = np.maximum(self.head[dims, level], begin)
+        tail = np.minimum(np.maximum(self.tail[dims, level], head), end)
+        head = np.minimum(head, end)
+        places, values, counts, of = [], [], [], []
+        for d, a, b, c, e in zip(dims.tolist(), begin.tolist(), head.tolist(), tail.tolist(), end.tolist(), strict=True):
+            for x, y in ((a, b), (c, e)):
+                if x < y:
+                    places.append(self.order[d, x:y])
+                    values.append(self.sorted[d, x:y])
+                    counts.append(y - x)
+                    of.append(d)
+        begin[:], end[:] = head, tail
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        return np.concatenate(places), np.concatenate(values), np.repeat(query[of], counts)
+
     def _candidates(self, query: np.ndarray, k: int, own: np.ndarray, few: int, levels) -> np.ndarray:
-        n, dims = self.values.shape
-        got, met = np.zeros(n), np.zeros(n)
-        magnitude = np.abs(query)
-        largest = float((magnitude * np.maximum(np.abs(self.sorted[:, 0]), np.abs(self.sorted[:, -1]))).max())
-        # the high and low ends of each posting list that were used so far
-        head, tail = np.zeros(dims, np.int64), np.full(dims, n, np.int64)
+        n = len(own)
+        dims = np.flatnonzero(query)
+        largest = float((np.abs(query) * self.largest).max(initial=0))
+        got, rest, asked = np.zeros(n), self.squares.copy(), np.full(n, float(query @ query))
+        begin, end = np.zeros(len(dims), np.int64), np.full(len(dims), n)
+        lead = min(n, 8 * k)
         for share in levels:
-            bound = share * largest
-            if bound < 1:
-                break
-            for d in np.flatnonzero(magnitude):
-                least = bound / magnitude[d]
-                row = self.sorted[d]
-                h = int(np.searchsorted(self.rising[d], -least, "right"))
-                t = int(np.searchsorted(self.rising[d], least, "left"))
-                for a, b in ((head[d], min(h, tail[d])), (max(t, head[d], h), tail[d])):
-                    if a < b:
-                        places = self.order[d, a:b]
-                        got[places] += query[d] * row[a:b]
-                        met[places] += 1
-                head[d], tail[d] = max(head[d], h), min(tail[d], max(t, h))
-            slack = (np.count_nonzero(magnitude) - met) * bound
-            low = np.where(own, -np.inf, got - slack)
-            threshold = np.partition(low, n - k)[n - k] if n > k else -np.inf
+            places, values, query_values = self._postings(query, dims, share * largest, begin, end)
+            got += np.bincount(places, values * query_values, n)
+            rest -= np.bincount(places, values * values, n)
+            asked -= np.bincount(places, query_values * query_values, n)
+            # what is not met adds at most the product of what is left of both lengths; 1 is for rounding
+            slack = np.sqrt(np.maximum(rest, 0) * np.maximum(asked, 0)) + 1
+            # the k-th best of some vectors that lead so far, scored exactly, is a bound that members of the result reach
+            leading = np.argpartition(np.where(own, -np.inf, got), n - lead)[n - lead :]
+            leading = leading[~own[leading]]
+            exact = self.values[leading] @ query
+            threshold = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
             possible = ~own & (got + slack >= threshold)
             if np.count_nonzero(possible) <= few:
                 return np.flatnonzero(possible)
