@@ -24,28 +24,16 @@ JOIN_CONDITION = r"(?i)\b(?:on|using)\b.*?(\bwhere\b|\bgroup\s+by\b|\bhaving\b|\
 NUMBER_AFTER_OPERATOR = r"(?i)(<=|>=|<>|!=|=|<|>|\bbetween\b|\bin\b)\s*[+-]?\d+(\.\d+)?([^\w.]|$)"
 NUMBER_BEFORE_OPERATOR = r"(?i)(^|[^\w.])\d+(\.\d+)?\s*(<=|>=|<>|!=|=|<|>|\bbetween\b|\bin\b)"
 
-# Building blocks of a lookup.
-NAME = r"(?:[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?|`[^`]+`|\"[^\"]+\"|\[[^\]]+\])"
-LITERAL = r"(?:'[^']*'|\"[^\"]*\"|[+-]?\d+(?:\.\d+)?)"
-ATOM = (
-    rf"(?:{NAME}\s*=\s*{LITERAL}"
-    rf"|{NAME}\s+LIKE\s+{LITERAL}"
-    rf"|{NAME}\s+BETWEEN\s+{LITERAL}\s+AND\s+{LITERAL}"
-    rf"|{NAME}\s+IN\s*\(\s*{LITERAL}(?:\s*,\s*{LITERAL})*\s*\))"
-)
-SELECT_ITEM = rf"(?:\*|{NAME})"
-BEYOND_LOOKUP = (
-    r"(?i) (?:union|intersect|except|having|group by|order by) "
-    r"|\bjoin\b|\b(?:sum|avg|count)\b|\b(?:min|max)\s*\(\w"
-)
-SELECT_LIST = r"(?i)\bselect\b(.*?)\bfrom\b"
-NAMES_ONLY = rf"(?i)^\s*(?:distinct\s+)?{SELECT_ITEM}(?:\s*,\s*{SELECT_ITEM})*\s*$"
-WHERE_PART = r"(?i)\bwhere\b(.*?)(?:\bgroup by\b|\border by\b|\blimit\b|$)"
-ATOMS_ONLY = rf"(?i)^\s*{ATOM}(?:\s+AND\s+{ATOM})*\s*$"
-OR_WORD = r"(?i)\bor\b"
-
-# Parts of one atom.
-ATOM_PARTS = rf"(?i)^({NAME})\s*(=|\blike\b|\bbetween\b|\bin\b)\s*(.*)$"
+# A text is cut into clauses at these words, once its quoted parts are masked.
+CLAUSE_WORD = r"(?i)\b(?:select|from|where|group by|order by|having|limit|union|intersect|except)\b"
+LOOKUP_CLAUSES = [["select", "from"], ["select", "from", "where"], ["select", "from", "limit"], ["select", "from", "where", "limit"]]
+NO_LOOKUP_WORD = r"(?i)\b(?:join|sum|avg|count)\b|\b(?:min|max)\s*\("
+
+# Masks: a sign for the kind of quote, the number of the quoted part, a closing sign.
+MASKED_PART = r"[\u0001-\u0003](\d+)\u0004"
+MASKED_TEXT, MASKED_EITHER, MASKED_NAME = "\u0001", "\u0002", "\u0003"
+BRACKETED = r"|\[[^\]]*\]"
+RANGE_SIGN = "\u0005"
 
 
 def one_line(sql: Column) -> Column:
@@ -57,24 +45,82 @@ def sql_tables(sql: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(sql, F.lit(TABLE_AFTER_KEYWORD), F.lit(1)))
 
 
+def masked(sql: Column) -> Column:
+    """STRUCT<text, quoted>: the text with a numbered mask in place of every quoted part, and these parts.
+
+    Quotes hide commas, brackets and words from everything that looks at the text afterwards.
+    """
+    pattern = QUOTED_TEXT + BRACKETED
+
+    def mask(part: Column, number: Column) -> Column:
+        kind = (
+            F.when(F.startswith(part, F.lit("'")), MASKED_TEXT).when(F.startswith(part, F.lit('"')), MASKED_EITHER).otherwise(MASKED_NAME)
+        )
+        return F.coalesce(F.concat(kind, number.cast("string"), F.lit("\u0004")), F.lit(""))
+
+    def put_together(pieces: Column, quoted: Column) -> Column:
+        text = F.array_join(F.transform(pieces, lambda piece, i: F.concat(piece, F.when(i < F.size(quoted), mask(F.get(quoted, i), i)).otherwise(""))), "")
+        return F.struct(text.alias("text"), quoted.alias("quoted"))
+
+    return bind(F.regexp_extract_all(sql, F.lit(pattern), F.lit(0)), lambda quoted: put_together(F.split(sql, pattern, -1), quoted))
+
+
+def unmasked(text: Column, quoted: Column) -> Column:
+    """A piece of a masked text with its quoted parts back in place."""
+    numbers = F.regexp_extract_all(text, F.lit(MASKED_PART), F.lit(1))
+    put = lambda piece, i: F.concat(piece, F.coalesce(F.get(quoted, F.get(numbers, i).try_cast("int")), F.lit("")))
+    return F.array_join(F.transform(F.split(text, MASKED_PART, -1), put), "")
+
+
+def clause_words(text: Column) -> Column:
+    """The words that begin the clauses of a masked line, in order and lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(CLAUSE_WORD), F.lit(0)), lambda w: F.lower(w))
+
+
+def clause(text: Column, word: str) -> Column:
+    """What follows the first ``word`` up to the next clause; empty if there is none."""
+    at = F.array_position(clause_words(text), F.lit(word)).cast("int")
+    return F.when(at > 0, F.trim(F.get(F.split(text, CLAUSE_WORD, -1), at))).otherwise("")
+
+
+def _is_name(item: Column) -> Column:
+    """A column: words joined by at most one point, or one quoted part that is no text."""
+    words = F.split(item, r"\.", -1)
+    plain = (F.size(words) <= 2) & F.forall(words, lambda w: w.rlike(r"^\w+$") & ~w.rlike(r"^\d"))
+    return plain | (item.rlike(f"^{MASKED_PART}$") & ~F.startswith(item, F.lit(MASKED_TEXT)))
+
+
+def _is_value(item: Column) -> Column:
+    """A number with digits on both sides of its point, or one quoted part that is no name."""
+    number = item.rlike(r"^[+-]?\d+$") | item.rlike(r"^[+-]?\d+\.\d+$")
+    return number | (item.rlike(f"^{MASKED_PART}$") & ~F.startswith(item, F.lit(MASKED_NAME)))
+
+
+def _all_trimmed(items: Column) -> Column:
+    return F.transform(items, lambda x: F.trim(x))
+
+
 def is_lookup(sql: Column) -> Column:
     """One table, plain columns, and at most AND-ed comparisons with literals."""
     return bind(one_line(sql), _line_is_lookup)
 
 
 def _line_is_lookup(q: Column) -> Column:
-    where_fits = bind(
-        F.trim(F.regexp_extract(q, WHERE_PART, 1)), lambda w: (w == "") | (~w.rlike(OR_WORD) & w.rlike(ATOMS_ONLY))
-    )
-    return (
-        ~q.rlike(BEYOND_LOOKUP)
-        & F.regexp_extract(q, SELECT_LIST, 1).rlike(NAMES_ONLY)
-        & bind(
-            F.upper(q),
-            lambda u: (F.size(F.regexp_extract_all(u, F.lit("SELECT"), F.lit(0))) == 1) & (F.size(sql_tables(u)) == 1),
+    def of_masked(m: Column) -> Column:
+        text = m["text"]
+        fits = F.lit(False)
+        for words in LOOKUP_CLAUSES:
+            fits = fits | (clause_words(text) == F.array(*[F.lit(w) for w in words]))
+        listed = _all_trimmed(F.split(F.regexp_replace(clause(text, "select"), r"(?i)^distinct\s+", ""), ","))
+        return (
+            fits
+            & ~q.rlike(NO_LOOKUP_WORD)
+            & (F.size(sql_tables(q)) == 1)
+            & F.forall(listed, lambda item: (item == "*") | _is_name(item))
+            & _masked_predicates(clause(text, "where"), m["quoted"]).isNotNull()
         )
-        & where_fits
-    )
+
+    return bind(masked(q), of_masked)
 
 
 def sql_tags(sql: Column) -> Column:
@@ -125,31 +171,67 @@ def bare_name(text: Column) -> Column:
 
 
 def where_text(sql: Column) -> Column:
-    return F.trim(F.rtrim(F.regexp_extract(F.rtrim(one_line(sql), F.lit("; ")), WHERE_PART, 1), F.lit(";")))
+    line = F.rtrim(one_line(sql), F.lit("; "))
+    return bind(masked(line), lambda m: F.trim(F.rtrim(unmasked(clause(m["text"], "where"), m["quoted"]), F.lit(";"))))
+
+
+PREDICATES = "array<struct<col:string,op:string,args:array<string>>>"
 
 
 def predicates(where: Column) -> Column:
-    """Atoms of a WHERE text as ARRAY<STRUCT<col, op, args>>; args are unquoted literals.
+    """AND-ed comparisons of a WHERE text as ARRAY<STRUCT<col, op, args>>; args are unquoted literals.
 
-    NULL when the text is more than AND-ed atoms, and empty when there is none.
+    NULL when the text is more than that, and empty when there is none.
     """
-    def parts(atom: Column) -> Column:
-        args = F.regexp_extract_all(F.regexp_extract(atom, ATOM_PARTS, 3), F.lit(LITERAL), F.lit(0))
+    return bind(masked(where), lambda m: _masked_predicates(m["text"], m["quoted"]))
+
+
+def _masked_predicates(text: Column, quoted: Column) -> Column:
+    """Predicates of a masked text: cut at AND (the one inside BETWEEN is no cut), each read by its operator word."""
+    ranged = F.regexp_replace(text, r"(?i)(\bbetween\s+\S+)\s+and\s+", f"$1{RANGE_SIGN}")
+
+    def read(item: Column) -> Column:
+        # the operator is the first one of the four; what stands before it has to be a name
+        op = F.lower(F.regexp_extract(item, r"(?i)(=|\blike\b|\bbetween\b|\bin\b)", 1))
+        cut = F.split(item, r"(?i)\s*(?:=|\blike\b|\bbetween\b|\bin\b)\s*", 2)
+        rest = F.trim(F.get(cut, F.lit(1)))
+        inside = F.substring(rest, F.lit(2), F.length(rest) - 2)
+        args = (
+            F.when(op == "between", F.split(rest, RANGE_SIGN))
+            .when((op == "in") & F.startswith(rest, F.lit("(")) & F.endswith(rest, F.lit(")")), F.split(inside, ","))
+            .when(op.isin("=", "like"), F.array(rest))
+            .otherwise(F.array().cast("array<string>"))
+        )
+        return F.struct(F.trim(F.get(cut, F.lit(0))).alias("name"), op.alias("op"), _all_trimmed(args).alias("args"))
+
+    def whole(p: Column) -> Column:
+        counted = F.when(p["op"] == "between", F.size(p["args"]) == 2).otherwise(F.size(p["args"]) > 0)
+        return (p["op"] != "") & _is_name(p["name"]) & counted & F.forall(p["args"], _is_value)
+
+    def shown(p: Column) -> Column:
+        back = lambda item: unmasked(item, quoted)
         return F.struct(
-            bare_name(F.regexp_extract(atom, ATOM_PARTS, 1)).alias("col"),
-            F.lower(F.regexp_extract(atom, ATOM_PARTS, 2)).alias("op"),
-            F.transform(args, unquote).alias("args"),
+            bare_name(back(p["name"])).alias("col"), p["op"].alias("op"), F.transform(p["args"], lambda a: unquote(back(a))).alias("args")
         )
 
-    none = F.array().cast("array<struct<col:string,op:string,args:array<string>>>")
-    atoms = lambda w: F.transform(F.regexp_extract_all(w, F.lit(f"(?i){ATOM}"), F.lit(0)), parts)
-    return bind(where, lambda w: F.when(w == "", none).when(w.rlike(ATOMS_ONLY) & ~w.rlike(OR_WORD), atoms(w)))
+    items = F.transform(F.split(ranged, r"(?i)\s+and\s+"), read)
+    none = F.array().cast(PREDICATES)
+    found = bind(items, lambda ps: F.when(F.forall(ps, whole), F.transform(ps, shown)))
+    return F.when(F.trim(text) == "", none).otherwise(found)
+
+
+def select_list(sql: Column) -> Column:
+    """The text between SELECT and FROM."""
+    return bind(masked(one_line(sql)), lambda m: unmasked(clause(m["text"], "select"), m["quoted"]))
 
 
 def select_names(sql: Column) -> Column:
     """Bare column names of the select list, ``*`` included."""
-    listed = F.regexp_replace(F.regexp_extract(one_line(sql), SELECT_LIST, 1), r"(?i)^\s*distinct\s+", "")
-    return F.transform(F.split(listed, ","), bare_name)
+    def names(m: Column) -> Column:
+        listed = F.split(F.regexp_replace(clause(m["text"], "select"), r"(?i)^distinct\s+", ""), ",")
+        return F.transform(listed, lambda item: bare_name(unmasked(item, m["quoted"])))
+
+    return bind(masked(one_line(sql)), names)
 
 
 def is_distinct(sql: Column) -> Column:
@@ -163,12 +245,13 @@ def limit_of(sql: Column) -> Column:
 
 # One aggregate over one table, e.g.
 #   SELECT g, SUM(x) FROM t WHERE .. GROUP BY g ORDER BY SUM(x) DESC LIMIT 3
-AGG_CALL = r"(sum|avg|count|min|max)\s*\(\s*(\*|" + NAME + r")\s*\)"
+COLUMN = r"(?:[\w.]+|`[^`]+`|\"[^\"]+\"|\[[^\]]+\])"
+AGG_CALL = r"(sum|avg|count|min|max)\s*\(\s*(\*|" + COLUMN + r")\s*\)"
 
 
-GROUPED_BY = rf"(?i)\bgroup by\s+({NAME})\s*(?:\border by\b.*|\blimit\b.*)?$"
+GROUPED_BY = rf"(?i)\bgroup by\s+({COLUMN})\s*(?:\border by\b.*|\blimit\b.*)?$"
 ORDERED_BY = r"(?i)\border by\s+(.*?)(?:\blimit\b.*)?$"
-PLAIN_ORDER = rf"(?i)^(?:{AGG_CALL}|{NAME})(?:\s+(?:asc|desc))?$"
+PLAIN_ORDER = rf"(?i)^(?:{AGG_CALL}|{COLUMN})(?:\s+(?:asc|desc))?$"
 
 
 def aggregate_spec(sql: Column) -> Column:
@@ -179,7 +262,7 @@ def aggregate_spec(sql: Column) -> Column:
     def pieces(q: Column) -> Column:
         return F.struct(
             q.alias("q"),
-            F.trim(F.regexp_extract(q, SELECT_LIST, 1)).alias("listed"),
+            F.trim(select_list(q)).alias("listed"),
             F.regexp_extract(q, GROUPED_BY, 1).alias("grouping"),
             F.trim(F.regexp_extract(q, ORDERED_BY, 1)).alias("ordering"),
             predicates(where_text(q)).alias("preds"),
@@ -200,7 +283,7 @@ def _spec_of(c: Column) -> Column:
     shows = (
         F.when(p["listed"].rlike(rf"(?i)^{AGG_CALL}$"), "value")
         .when(grouped & (F.lower(bare_name(p["listed"])) == F.lower(bare_name(grouping))), "group")
-        .when(grouped & p["listed"].rlike(rf"(?i)^{NAME}\s*,\s*{AGG_CALL}$"), "both")
+        .when(grouped & p["listed"].rlike(rf"(?i)^{COLUMN}\s*,\s*{AGG_CALL}$"), "both")
     )
     unspaced = lambda text: F.lower(F.regexp_replace(text, " ", ""))
     ok = (
