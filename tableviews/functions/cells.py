@@ -11,6 +11,9 @@ NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 INT_TYPES = ["BIGINT", "BOOLEAN"]
 
+# How the number that is none reads as text.
+NAN_TEXT = "NaN"
+
 
 def variant_type(v: Column) -> Column:
     """JSON type of a VARIANT: VOID, BOOLEAN, BIGINT, DOUBLE, STRING, ARRAY or OBJECT.
@@ -62,9 +65,10 @@ def is_meaningful(flat: Column) -> Column:
     """Whether the values of an answer say anything.
 
     ``flat`` is the answer as one array of text.  Empty answers, answers with
-    only missing, empty or NaN values, and the single value zero do not count.
+    only missing, empty or NaN values, and the single value zero do not count.  A NaN
+    is what Spark writes for the number; a name such as Nan is a value.
     """
-    says_something = F.exists(flat, lambda x: x.isNotNull() & (x != "") & (F.lower(x) != "nan"))
+    says_something = F.exists(flat, lambda x: x.isNotNull() & (x != "") & (x != NAN_TEXT))
     only_zero = (F.size(flat) == 1) & F.coalesce(number_of(F.get(flat, F.lit(0))) == 0, F.lit(False))
     return F.coalesce((F.size(flat) > 0) & says_something & ~only_zero, F.lit(False))
 
@@ -93,11 +97,11 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
-def flat_values(v: Column, depth: int = 6) -> Column:
+def flat_values(v: Column, depth: int = 12) -> Column:
     """All scalars of a nested VARIANT list as one ARRAY<VARIANT>, in order.
 
-    Each step opens one level of nesting; ``depth`` steps are far beyond any
-    answer, and a scalar becomes a list of one.
+    Each step opens one level of nesting, and a scalar becomes a list of one.  A list
+    that is nested deeper than ``depth`` ends the job with an error.
     """
     def open_list(x: Column) -> Column:
         return F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))
@@ -105,7 +109,9 @@ def flat_values(v: Column, depth: int = 6) -> Column:
     flat = open_list(v)
     for _ in range(depth - 1):
         flat = F.flatten(F.transform(flat, open_list))
-    return flat
+    too_deep = F.exists(flat, lambda x: F.coalesce(variant_type(x) == "ARRAY", F.lit(False)))
+    message = F.lit(f"an answer is nested deeper than {depth} lists")
+    return F.when(too_deep, F.raise_error(message).cast("array<variant>")).otherwise(flat)
 
 
 def collapse_single(rows: Column) -> Column:
@@ -114,17 +120,18 @@ def collapse_single(rows: Column) -> Column:
     return F.when((F.size(rows) == 1) & (F.size(first) == 1), F.get(first, F.lit(0)))
 
 
-def vote_sql_type(vtypes: Column, texts: Column) -> Column:
-    """INTEGER, REAL or TEXT for a column, from two parallel arrays of its first values.
+def voted_sql_type(vtype: Column, text: Column) -> Column:
+    """Aggregate: INTEGER, REAL or TEXT for a column, from the JSON types and texts of its values.
 
     Typed numbers decide first; only a column without any is judged by how its text reads.
     """
-    integer_text = F.exists(texts, lambda t: t.rlike(INTEGER_TEXT))
-    real_text = F.exists(texts, lambda t: t.rlike(REAL_TEXT) & ~t.rlike(INTEGER_TEXT))
+    filled = text.isNotNull() & (vtype != "VOID")
+    some = lambda test: F.coalesce(F.bool_or(F.coalesce(filled & test, F.lit(False))), F.lit(False))
+    integer_text = text.rlike(INTEGER_TEXT)
     return (
-        F.when(F.exists(vtypes, lambda t: t == "DOUBLE"), "REAL")
-        .when(F.exists(vtypes, lambda t: t.isin(INT_TYPES)), "INTEGER")
-        .when(real_text, "REAL")
-        .when(integer_text, "INTEGER")
+        F.when(some(vtype == "DOUBLE"), "REAL")
+        .when(some(vtype.isin(INT_TYPES)), "INTEGER")
+        .when(some(text.rlike(REAL_TEXT) & ~integer_text), "REAL")
+        .when(some(integer_text), "INTEGER")
         .otherwise("TEXT")
     )

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tableviews.functions.binding import bind, with_computed
-from tableviews.functions.cells import INTEGER_TEXT, number_of
+from tableviews.functions.cells import INTEGER_TEXT, NAN_TEXT, number_of
 from tableviews.functions.sqltext import (
     aggregate_spec, is_distinct, is_lookup, limit_of, one_line, predicates, select_names, sql_tables, where_text,
 )
+from tableviews.functions.replies import guard_sql
 from tableviews.operators.reshape import cells_at, with_tables
 from tableviews.schema import ROWS_PER_PART, TABLE_KEY, row_slice
+from tableviews.session import stored
+
+# A text whose result has an order.
+ORDERED_RESULT = re.compile(r"(?is)\border\s+by\b")
 
 GROUP_SALTS = 1024
 
+# Numbers whose sum is exact as a decimal.
+PLAIN_DECIMAL = r"^\s*[+-]?\d{1,18}(\.\d{1,8})?\s*$"
+
 
 def _lower_all(xs: Column) -> Column:
     return F.transform(xs, lambda x: F.lower(x))
@@ -114,14 +124,15 @@ def answer_lookups(queries: DataFrame, tables: DataFrame, rows: DataFrame, ignor
 
 
 def _limit_rows(df: DataFrame, order: list[Column], salt: Column) -> DataFrame:
-    """Keep ``row_limit`` rows per sample where it is set: first per salt, then per sample."""
-    salted = df.withColumn("__salt", salt)
+    """Keep ``row_limit`` rows per sample where it is set: first per salt, then per sample.  Rows without a limit are not ranked."""
     unlimited = F.col("row_limit").isNull()
+    whole = df.filter(unlimited)
+    salted = df.filter(~unlimited).withColumn("__salt", salt)
     near = F.row_number().over(Window.partitionBy("sample_id", "__salt").orderBy(*order))
-    cut = salted.withColumn("__r", near).filter(unlimited | (F.col("__r") <= F.col("row_limit")))
-    cut = cut.withColumn("__salt", F.when(unlimited, F.col("__salt")).otherwise(F.lit(-1)))
-    far = F.row_number().over(Window.partitionBy("sample_id", "__salt").orderBy(*order))
-    return cut.withColumn("__r", far).filter(unlimited | (F.col("__r") <= F.col("row_limit"))).drop("__r", "__salt")
+    cut = salted.withColumn("__r", near).filter(F.col("__r") <= F.col("row_limit"))
+    far = F.row_number().over(Window.partitionBy("sample_id").orderBy(*order))
+    limited = cut.withColumn("__r", far).filter(F.col("__r") <= F.col("row_limit")).drop("__r", "__salt")
+    return whole.unionByName(limited)
 
 
 def aggregate_specs(queries: DataFrame, tables: DataFrame) -> DataFrame:
@@ -164,6 +175,8 @@ def answer_aggregates(queries: DataFrame, tables: DataFrame, rows: DataFrame, ig
     ).groupBy(*per_query, "grouped", "group_value").agg(
         F.count_if(F.col("counts_rows") | F.col("cell").isNotNull()).alias("n"),
         F.sum("number").alias("total"),
+        F.sum(F.when(F.col("cell").rlike(PLAIN_DECIMAL), F.col("cell").try_cast("decimal(28,8)"))).alias("exact"),
+        F.bool_and(F.col("number").isNull() | F.col("cell").rlike(PLAIN_DECIMAL)).alias("plain"),
         F.avg("number").alias("mean"),
         F.min("number").alias("low"),
         F.max("number").alias("high"),
@@ -174,13 +187,14 @@ def answer_aggregates(queries: DataFrame, tables: DataFrame, rows: DataFrame, ig
     func = F.col("func")
     value = (
         F.when(func == "count", F.col("n").cast("double"))
-        .when(func == "sum", F.col("total"))
+        .when(func == "sum", F.when(F.col("plain"), F.col("exact").cast("double")).otherwise(F.col("total")))
         .when(func == "avg", F.col("mean"))
         .when(func == "min", F.col("low"))
         .when(func == "max", F.col("high"))
     )
     as_text = F.coalesce(
         F.when(func == "count", F.col("n").cast("string"))
+        .when((func == "sum") & F.col("plain") & F.col("whole"), F.col("exact").cast("decimal(38,0)").cast("string"))
         .when((func != "avg") & F.col("whole"), value.cast("decimal(38,0)").cast("string"))
         .otherwise(value.cast("string")),
         F.when(func == "min", F.col("low_text")).when(func == "max", F.col("high_text")),
@@ -213,6 +227,10 @@ def answer_aggregates(queries: DataFrame, tables: DataFrame, rows: DataFrame, ig
     return rows_out.select("sample_id", "group_value", "value", answer.alias("answer"))
 
 
+# What became of a sample's text.
+ANSWERED, EMPTY, UNSUPPORTED = "answered", "empty", "not supported"
+
+
 def recompute_answers(queries: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFrame:
     """Answers of all lookups and aggregates on the given table version, as (sample_id, row_pos, answer)."""
     aggregates = answer_aggregates(queries, tables, rows)
@@ -221,17 +239,30 @@ def recompute_answers(queries: DataFrame, tables: DataFrame, rows: DataFrame) ->
     )
 
 
+def answer_status(queries: DataFrame, tables: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row per sample: (sample_id, status, n_answer_rows).
+
+    A text that is neither a lookup nor an aggregate, or names what its tables lack, is not
+    supported here; Spark's own engine answers it over registered views (``run_workload``).
+    """
+    known = lookup_specs(queries, tables).select("sample_id").unionByName(aggregate_specs(queries, tables).select("sample_id")).distinct()
+    counted = answers.groupBy("sample_id").agg(F.count("*").alias("n"))
+    joined = queries.select("sample_id").join(counted, "sample_id", "left").join(known.withColumn("known", F.lit(True)), "sample_id", "left")
+    status = F.when(F.col("n") > 0, ANSWERED).when(F.col("known"), EMPTY).otherwise(UNSUPPORTED)
+    return joined.select("sample_id", status.alias("status"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_answer_rows"))
+
+
 def answer_quality(answers: DataFrame) -> DataFrame:
     """Per sample whether its answer is complete (``ok``) and says something (``meaningful``).
 
     Both are sums over the answer rows, so no answer has to be gathered for it.
     """
     count_of = lambda test: F.size(F.filter("answer", test))
-    says = lambda x: x.isNotNull() & (x != "") & (F.lower(x) != "nan")
+    says = lambda x: x.isNotNull() & (x != "") & (x != NAN_TEXT)
     sized = answers.select(
         "sample_id",
         F.size("answer").alias("n"),
-        count_of(lambda x: x.isNull() | (F.lower(x) == "nan")).alias("n_missing"),
+        count_of(lambda x: x.isNull() | (x == NAN_TEXT)).alias("n_missing"),
         count_of(says).alias("n_saying"),
         count_of(lambda x: F.coalesce(number_of(x) == 0, F.lit(False))).alias("n_zero"),
     )
@@ -254,35 +285,46 @@ def answer_parts(answers: DataFrame, rows_per_part: int = ROWS_PER_PART) -> Data
     )
 
 
-def run_workload(spark: SparkSession, queries: Sequence[tuple[str, str]]) -> DataFrame:
+WORKLOAD_DDL = "query_id string, row_pos long, columns array<string>, row_json string, error string"
+
+
+def run_workload(spark: SparkSession, queries: Sequence[tuple[str, str]], folder: str | None = None) -> DataFrame:
     """Run a short list of SQL texts over registered views.
 
-    Result: (query_id, columns, row_json, error).  Each text is planned on its own and
-    nothing runs before the union does; a text that cannot be planned gives one row
-    with its error.  Meant for tens or hundreds of texts over large tables.
+    Result: (query_id, row_pos, columns, row_json, error).  Only SELECT texts run.  Each text is
+    planned and written on its own, below ``folder`` or the shared folder, so one that cannot be
+    planned or fails while it runs gives one row with its error and harms no other.  ``row_json``
+    is an object by column number, so missing values and equal names stay; ``row_pos`` counts the
+    rows of a text that orders its result and is NULL for others.  Meant for tens or hundreds of
+    texts over large tables.
     """
-    results = [_run_text(spark, query_id, text) for query_id, text in queries]
-    out = results[0]
-    for nxt in results[1:]:
-        out = out.unionByName(nxt)
+    out = spark.createDataFrame([], WORKLOAD_DDL)
+    for query_id, text in queries:
+        out = out.unionByName(_run_text(spark, query_id, text, folder))
     return out
 
 
-def _run_text(spark: SparkSession, query_id: str, text: str) -> DataFrame:
+def _run_text(spark: SparkSession, query_id: str, text: str, folder: str | None) -> DataFrame:
+    failed = lambda error: spark.createDataFrame([(query_id, None, [], None, error)], WORKLOAD_DDL)
+    guarded = spark.range(1).select(guard_sql(F.lit(text)).alias("g")).select("g.*").first()
+    if guarded.error is not None:
+        return failed(guarded.error)
     try:
-        result = spark.sql(text.strip().rstrip(";"))
-        columns = result.columns
-        return result.select(
-            F.lit(query_id).alias("query_id"),
-            F.array(*[F.lit(c) for c in columns]).alias("columns"),
-            F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row_json"),
-            F.lit(None).cast("string").alias("error"),
-        )
-    except PySparkException as exc:
-        name = exc.getCondition() or type(exc).__name__
-        return spark.range(1).select(
-            F.lit(query_id).alias("query_id"),
-            F.array().cast("array<string>").alias("columns"),
-            F.lit(None).cast("string").alias("row_json"),
-            F.lit(name).alias("error"),
-        )
+        result = spark.sql(guarded.sql.rstrip("; "))
+        names = result.columns
+        numbered = result.toDF(*[str(i) for i in range(len(names))])
+        ordered = bool(ORDERED_RESULT.search(text))
+        place = F.monotonically_increasing_id() if ordered else F.lit(None).cast("bigint")
+        rows = numbered.select(place.alias("place"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in numbered.columns]), {"ignoreNullFields": "false"}).alias("row_json"))
+        rows = stored(rows, folder)
+    except (PySparkException, Py4JJavaError) as exc:
+        return failed((exc.getCondition() if isinstance(exc, PySparkException) else None) or type(exc).__name__)
+    # the ids that the write gave follow the result's order; only their order is used
+    at = F.when(F.col("place").isNotNull(), F.dense_rank().over(Window.partitionBy(F.col("place").isNull()).orderBy("place")) - 1) if ordered else F.lit(None)
+    return rows.select(
+        F.lit(query_id).alias("query_id"),
+        at.cast("bigint").alias("row_pos"),
+        F.array(*[F.lit(c) for c in names]).cast("array<string>").alias("columns"),
+        "row_json",
+        F.lit(None).cast("string").alias("error"),
+    )

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableviews.functions.cells import is_blank
 from tableviews.functions.text import token_estimate
 
 NO_REPLY = "no_reply"
@@ -15,9 +16,12 @@ FALLBACKS = {"columns": "", "templates": "ERROR", "answer": None, "sql": None, "
 
 
 def request_id(kind: str, *key: Column | str) -> Column:
-    """Stable id of a request, so that a repeated run meets its old replies."""
+    """Stable id of a request, so that a repeated run meets its old replies.
+
+    The key is hashed as a JSON list, so keys with gaps or with separators inside stay apart.
+    """
     cols = [F.col(k) if isinstance(k, str) else k for k in key]
-    return F.md5(F.concat_ws("|", F.lit(kind), *[c.cast("string") for c in cols]))
+    return F.md5(F.to_json(F.array(F.lit(kind), *[c.cast("string") for c in cols])))
 
 
 def make_requests(df: DataFrame, kind: str, key: list[str], prompt: Column, n_tokens: Column | None = None) -> DataFrame:
@@ -32,9 +36,10 @@ def attach_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """Join replies (request_id, text) to their requests.
 
     A missing or blank reply sets ``error`` and leaves the fallback of its kind.
-    Of several replies to one request one is kept, so no request is doubled.
+    Of several replies to one request one is kept, so no request is doubled; a blank one
+    only if there is no other.
     """
-    single = replies.groupBy("request_id").agg(F.min("text").alias("text"))
+    single = replies.filter(~is_blank(F.col("text"))).groupBy("request_id").agg(F.min("text").alias("text"))
     joined = requests.join(single, "request_id", "left")
     silent = F.col("text").isNull() | (F.trim("text") == "")
     fallback = F.element_at(F.create_map(*[F.lit(x) for kv in FALLBACKS.items() for x in (kv[0], kv[1] or "")]), F.col("kind"))

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tableviews.schema import ROWS_PER_SLICE
 
-# Above this many kept rows per group, the first cut is made per salt.
-SALTED_ABOVE = 100
+# Parts of a group that are cut before the group itself.
 SALTS = 256
 
 
@@ -107,14 +106,13 @@ def top_per_group(
 ) -> DataFrame:
     """First k rows of every group.  ``order`` must be total for the result to be repeatable.
 
-    Spark keeps only k rows per group in each task before it shuffles.  For a large
-    k that is still many rows in one group, so a first cut runs per group and salt.
+    The first cut runs per group and salt, so that one large group is no single task;
+    what it leaves of a group is at most k rows for each salt.
     """
-    if k > SALTED_ABOVE:
-        salt_by = salt_by or [o for o in order if isinstance(o, str)]
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)))
-        df = _first_rows(salted, [*keys, "__salt"], order, k).drop("__salt")
-    return _first_rows(df, keys, order, k)
+    salt_by = salt_by or [o for o in order if isinstance(o, str)]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)))
+    cut = _first_rows(salted, [*keys, "__salt"], order, k).drop("__salt")
+    return _first_rows(cut, keys, order, k)
 
 
 def _first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:
@@ -128,15 +126,16 @@ def spread_join(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = 4096,
+    salts: int = 1,
 ) -> DataFrame:
     """Equi-join for a left side whose keys repeat without bound.
 
-    The left side is salted.  The right side is not copied to every salt but only to
-    the (key, salt) pairs that the left side holds, so a rare key is copied once per
-    row at most and a frequent key ``salts`` times.
+    With one salt this is a plain join: adaptive execution splits the skewed partitions
+    of the left side at run time.  With more, the left side is salted by ``spread_by`` and the
+    right side, which has to be small, is copied to every salt; neither side is read twice.
     """
+    if salts <= 1:
+        return left.join(right, list(on), how)
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    pairs = salted.select(*on, "__salt").distinct()
-    copies = pairs.join(right, list(on))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tableviews.functions.cells import vote_sql_type
+from tableviews.functions.cells import voted_sql_type
 from tableviews.functions.text import column_mentioned
 from tableviews.operators.ordering import top_per_group
 from tableviews.operators.reshape import with_tables
 from tableviews.schema import TABLE_KEY
 
 N_EXAMPLES = 3
-TYPE_VOTE_ROWS = 10
 HIGH_SHARE = 0.5
 
 
@@ -154,17 +153,13 @@ def examples_map(examples: DataFrame, by_name: bool = False) -> DataFrame:
 
 
 def column_types(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """INTEGER, REAL or TEXT per column, voted by its first ten values.
+    """INTEGER, REAL or TEXT per column, voted by all its values.
 
-    A column of only missing values is TEXT.
+    A column of only missing values is TEXT.  What a value says is combined inside the
+    tasks, so nothing is ranked or gathered.
     """
     keys = keys or [*TABLE_KEY, "column"]
-    filled = F.col("value").isNotNull() & (F.col("vtype") != "VOID")
-    # missing cells come last, so that a column of them keeps a row and every other column only values
-    marked = cells.select(*keys, "row_pos", "value", "vtype", (~F.coalesce(filled, F.lit(False))).alias("missing"))
-    voters = top_per_group(marked, keys, ["missing", "row_pos"], TYPE_VOTE_ROWS)
-    given = lambda c: F.collect_list(F.when(~F.col("missing"), F.col(c)))
-    return voters.groupBy(*keys).agg(vote_sql_type(given("vtype"), given("value")).alias("sql_type"))
+    return cells.groupBy(*keys).agg(voted_sql_type(F.col("vtype"), F.col("value")).alias("sql_type"))
 
 
 def average_table_size(tables: DataFrame) -> DataFrame:

@@ -14,12 +14,9 @@ from tableviews.operators.profile import column_types
 from tableviews.operators.verbalize import text_parts
 from tableviews.schema import ROWS_PER_PART, TABLE_KEY
 
-# Longest prompt that is sent, and the mark of longer ones.
-TOKEN_BUDGET = 128_000
+# Fixed value: the mark of a prompt beyond the budget.
 TOO_LONG = "prompt_too_long"
 CHARS_PER_TOKEN = 4.0
-# Shortest line a row can take: pipes, blanks and the line break.
-MIN_LINE_CHARS = 5
 PREVIEW_ROWS = 3
 
 
@@ -88,13 +85,13 @@ def qa_views(
     rows: DataFrame,
     segments: DataFrame,
     views: list[str] | None = None,
-    budget: int = TOKEN_BUDGET,
+    budget: int | None = None,
     chars_per_token: float = CHARS_PER_TOKEN,
 ) -> DataFrame:
     """One prompt per sample and view: (sample_id, view, n_tokens_est, prompt, error).
 
-    ``segments`` is (sample_id, table_pos, part, text).  Lengths are summed first, so a
-    prompt beyond the budget is reported with its size but never put together.
+    ``segments`` is (sample_id, table_pos, part, text).  Every prompt is delivered whole.  With
+    a ``budget`` in tokens, ``error`` marks the prompts beyond it.
     """
     views = views or wording.QA_VIEWS
     table_chars = table_sizes_in_chars(rows, tables)
@@ -112,32 +109,21 @@ def qa_views(
             qa_prompt_chars(F.col("view"), F.col("table_chars"), F.col("text_chars"), F.col("question")), chars_per_token
         ),
     )
-    max_chars = int(budget * chars_per_token)
-    tables_fit = sized.filter(F.col("table_chars") <= max_chars).select("sample_id")
-    texts_fit = sized.filter(F.col("text_chars") <= max_chars).select("sample_id")
-    # a table with more rows than the budget has lines cannot fit; its rows leave before any shuffle
-    small_rows = rows.filter(F.col("n_rows") * MIN_LINE_CHARS <= max_chars).join(tables_fit, "sample_id", "left_semi")
-    rendered = render_tables(small_rows, tables.join(tables_fit, "sample_id", "left_semi"), max_chars)
-    ordered_tables = F.array_sort(F.collect_list(F.struct("table_pos", "markdown")))
-    by_sample = rendered.groupBy("sample_id").agg(
-        F.array_join(F.transform(ordered_tables, lambda t: t["markdown"]), "\n\n").alias("tables_md")
-    )
+    rendered = render_tables(rows, tables)
+    ordered_tables = F.array_sort(F.collect_list(F.struct("table_pos", "part", "markdown")))
+    # parts of one table go on line by line, tables are parted by a blank line
+    glued = F.transform(ordered_tables, lambda t: F.concat(F.when(t["part"] > 0, "\n").otherwise("\n\n"), t["markdown"]))
+    by_sample = rendered.groupBy("sample_id").agg(F.substring(F.array_join(glued, ""), 3, 2**31 - 1).alias("tables_md"))
     ordered_texts = F.array_sort(F.collect_list(F.struct("table_pos", "part", "text")))
-    texts = segments.join(texts_fit, "sample_id", "left_semi").groupBy("sample_id").agg(
+    texts = segments.groupBy("sample_id").agg(
         F.array_join(F.transform(ordered_texts, lambda t: t["text"]), " ").alias("texts")
     )
     whole = asked.join(by_sample, "sample_id", "left").join(texts, "sample_id", "left")
-    fits = F.col("n_tokens_est") <= budget
     prompt = qa_prompt(
         F.col("view"), F.coalesce("tables_md", F.lit("")), F.coalesce("texts", F.lit("")), F.col("question")
     )
-    return whole.select(
-        "sample_id",
-        "view",
-        "n_tokens_est",
-        F.when(fits, prompt).alias("prompt"),
-        F.when(~fits, TOO_LONG).alias("error"),
-    )
+    beyond = F.lit(False) if budget is None else F.col("n_tokens_est") > budget
+    return whole.select("sample_id", "view", "n_tokens_est", prompt.alias("prompt"), F.when(beyond, TOO_LONG).alias("error"))
 
 
 def skipped_prediction(n_tokens: Column) -> Column:

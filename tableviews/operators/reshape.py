@@ -20,9 +20,10 @@ def field(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("record", f"$.{path}", kind)
 
 
-def record_id() -> Column:
-    """First filled of the usual id fields, else the place in the input."""
-    return F.coalesce(first_filled(*[field(c) for c in ID_FIELDS]), F.col("ord").cast("string"))
+def record_id(records: DataFrame | None = None) -> Column:
+    """First filled of the usual id fields, else the place in the input; records of several splits have their split before it."""
+    own = F.coalesce(first_filled(*[field(c) for c in ID_FIELDS]), F.col("ord").cast("string"))
+    return F.concat_ws("_", "split", own) if records is not None and "split" in records.columns else own
 
 
 def record_truth() -> Column:
@@ -33,7 +34,7 @@ def record_truth() -> Column:
 def samples_of(records: DataFrame) -> DataFrame:
     """Questions, SQL and answers of a corpus (ord, record), without its tables."""
     return records.select(
-        record_id().alias("sample_id"),
+        record_id(records).alias("sample_id"),
         "ord",
         F.coalesce(field("db"), F.lit(UNKNOWN_DB)).alias("db"),
         F.coalesce(first_filled(*[field(c) for c in QUESTION_FIELDS]), F.lit("")).alias("question"),
@@ -46,7 +47,7 @@ def samples_of(records: DataFrame) -> DataFrame:
 def texts_of(records: DataFrame) -> DataFrame:
     """Text segments that records bring along, as (sample_id, table_pos, part, text)."""
     listed = field("verbalized_data", "array<struct<text:string>>")
-    return records.select(record_id().alias("sample_id"), F.posexplode(listed).alias("table_pos", "s")).select(
+    return records.select(record_id(records).alias("sample_id"), F.posexplode(listed).alias("table_pos", "s")).select(
         "sample_id", "table_pos", F.lit(0).cast("bigint").alias("part"), F.col("s.text").alias("text")
     )
 
@@ -68,7 +69,7 @@ def tables_of(records: DataFrame, version: str = "tables") -> DataFrame:
     flat = F.transform("header", lambda h: F.coalesce(variant_text(h), F.lit("None")))
     return (
         records.select(
-            record_id().alias("sample_id"),
+            record_id(records).alias("sample_id"),
             "ord",
             F.coalesce(field("db"), F.lit(UNKNOWN_DB)).alias("db"),
             F.lower(F.coalesce(field("SQL"), F.lit(""))).alias("sql"),
@@ -95,6 +96,21 @@ def tables_of(records: DataFrame, version: str = "tables") -> DataFrame:
     )
 
 
+def unpaired(records: DataFrame, version: str = "tables") -> DataFrame:
+    """Records whose names and tables differ in number, as (sample_id, n_names, n_tables); ``tables_of`` pairs the shorter list."""
+    inner = "raw_tables." if version == "raw_tables" else ""
+    size = lambda name, kind: F.coalesce(F.size(field(f"{inner}{name}", kind)), F.lit(0))
+    sized = records.select(record_id(records).alias("sample_id"), size("table_names", "array<string>").alias("n_names"), size("tables", "array<variant>").alias("n_tables"))
+    return sized.filter("n_names <> n_tables")
+
+
+def beyond_header(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """Cells that no column names, counted per table: (sample_id, table_pos, n_cells); ``cells_of`` leaves them out."""
+    extra = F.greatest(F.size("cells") - F.size("columns"), F.lit(0))
+    counted = with_tables(rows, tables, "columns").groupBy(*TABLE_KEY).agg(F.sum(extra).alias("n_cells"))
+    return counted.filter("n_cells > 0")
+
+
 def sample_tables(tables: DataFrame) -> DataFrame:
     """Table headers without content."""
     return tables.drop("content", "paragraph")
@@ -134,9 +150,11 @@ def cells_of(rows: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def as_records(rows_with_columns: DataFrame) -> DataFrame:
-    """Rows as MAP<column, text>; missing cells are NULL."""
-    padded = F.transform(F.col("columns"), lambda _, i: F.get("cells", i))
-    return rows_with_columns.withColumn("record", F.map_from_arrays("columns", padded))
+    """Rows as MAP<column, text>; missing cells are NULL, and of a name that repeats the last cell counts."""
+    padded = F.transform(F.col("columns"), lambda c, i: F.struct(c.alias("c"), i.alias("i"), F.get("cells", i).alias("v")))
+    size = F.size("columns")
+    last = F.filter(padded, lambda p: ~F.array_contains(F.slice("columns", p["i"] + 2, F.greatest(size - p["i"] - 1, F.lit(0))), p["c"]))
+    return rows_with_columns.withColumn("record", F.map_from_entries(F.transform(last, lambda p: F.struct(p["c"], p["v"]))))
 
 
 def typed_cell(text: Column, vtype: Column) -> Column:
@@ -214,7 +232,8 @@ def rename_columns(tables: DataFrame, aliases: DataFrame) -> DataFrame:
     Aliases of a database are first gathered into one map, which has one entry per
     known misspelling, and then met by all tables of that database.
     """
-    maps = aliases.groupBy("db").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__new"))
+    single = aliases.groupBy("db", "old").agg(F.max("new").alias("new"))
+    maps = single.groupBy("db").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__new"))
     found = spread_join(tables, maps, ["db"], TABLE_KEY, "left")
     renamed = F.transform("columns", lambda c: F.coalesce(F.element_at("__new", c), c))
     return found.withColumn("columns", F.when(F.col("__new").isNull(), F.col("columns")).otherwise(renamed)).drop("__new")

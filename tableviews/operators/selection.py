@@ -22,8 +22,6 @@ UNKNOWN_TABLE = "unknown-table"
 
 SHORT_MAX_ROWS = 100
 LONG_MIN_ROWS = 101
-SAMPLES_PER_TYPE = 100
-ROW_CAP = 1000
 
 
 def tag_queries(samples: DataFrame) -> DataFrame:
@@ -114,13 +112,13 @@ def first_n(df: DataFrame, group: str, n: int) -> DataFrame:
     return top_per_group(df, [group], ["ord", "sample_id"], n)
 
 
-def sample_per_type(df: DataFrame, n: int = SAMPLES_PER_TYPE, seed: int = 42, group: str = "sql_type") -> DataFrame:
+def sample_per_type(df: DataFrame, n: int, seed: int = 42, group: str = "sql_type") -> DataFrame:
     """At most n samples per type, chosen by hash."""
     hashed = df.withColumn("__h", stable_hash(seed, "sample_id"))
     return top_per_group(hashed, [group], ["__h", "sample_id"], n).drop("__h")
 
 
-def cap_rows(rows: DataFrame, keys: list[str], row_id: list[str], cap: int = ROW_CAP, seed: int = 42) -> DataFrame:
+def cap_rows(rows: DataFrame, keys: list[str], row_id: list[str], cap: int, seed: int = 42) -> DataFrame:
     """At most ``cap`` rows per table, chosen by hash; shorter tables stay whole."""
     hashed = rows.withColumn("__h", stable_hash(seed, *row_id))
     return top_per_group(hashed, keys, ["__h", *row_id], cap).drop("__h")
@@ -155,9 +153,19 @@ def with_database_keys(queries: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def latest_meta(meta: DataFrame, key: str = "table_id") -> DataFrame:
-    """One metadata row per key, the last one given (``ord``)."""
+    """One metadata row per key, the last one given (``ord``); of equal ``ord`` the one with the largest hash.
+
+    Parts of one row (``part``, with ``markdown`` in pieces) are put together in order first.
+    """
+    if "part" in meta.columns:
+        same = [c for c in meta.columns if c not in (key, "ord", "part", "markdown")]
+        pieces = F.array_sort(F.collect_list(F.struct("part", "markdown")))
+        whole = F.array_join(F.transform(pieces, lambda p: p["markdown"]), "\n").alias("markdown")
+        firsts = [F.min_by(c, "part").alias(c) for c in same]
+        meta = meta.groupBy(key, "ord").agg(whole, *firsts)
     fields = [c for c in meta.columns if c not in (key, "ord")]
-    return meta.groupBy(key).agg(F.max_by(F.struct(*fields), "ord").alias("m")).select(key, "m.*")
+    last = F.struct("ord", F.xxhash64(*fields))
+    return meta.groupBy(key).agg(F.max_by(F.struct(*fields), last).alias("m")).select(key, "m.*")
 
 
 def equal_counts(records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tableviews.functions.cells import is_blank
 from tableviews.functions.replies import parse_label_reply, parse_template_reply
 from tableviews.functions.text import template_fits
 
+# Fixed value: how many templates a request asks for.
 N_TEMPLATES = 5
 # Fixed value: what stands in for a template that could not be read.
 FAILED_TEMPLATE = "ERROR"
@@ -101,7 +102,7 @@ def attach_templates(combinations: DataFrame, text: str = "text", n: int = N_TEM
     ).drop("__t")
 
 
-def template_sets(wide: DataFrame, n: int = N_TEMPLATES, check: bool = True) -> DataFrame:
+def template_sets(wide: DataFrame, check: bool = True) -> DataFrame:
     """Wide rows to (db, table_name, set_no, columns, templates).
 
     Blank names and templates are dropped and both lists must hold something.
@@ -112,7 +113,7 @@ def template_sets(wide: DataFrame, n: int = N_TEMPLATES, check: bool = True) ->
         listed = F.array(*[F.col(c).cast("string") for c in names]) if names else F.array().cast("array<string>")
         return F.filter(listed, lambda x: ~is_blank(x))
 
-    present = [f"template{i}" for i in range(1, n + 1) if f"template{i}" in wide.columns]
+    present = sorted(numbered("template", wide.columns), key=lambda c: int(c.removeprefix("template")))
     sets = wide.select(
         "db", "table_name",
         *(["set_no"] if "set_no" in wide.columns else []),

@@ -11,7 +11,7 @@ from tableviews.operators import exchange, prompts, scoring
 
 
 def qa_requests(views: DataFrame) -> DataFrame:
-    """Requests of the views that are within the budget."""
+    """Requests of the views that are within the budget, if one was set."""
     fitting = views.filter(F.col("error").isNull())
     return exchange.make_requests(fitting, "answer", ["sample_id", "view"], F.col("prompt"), F.col("n_tokens_est"))
 
@@ -34,7 +34,7 @@ def qa_results(views: DataFrame, samples: DataFrame, answered: DataFrame) -> Dat
     )
     read = back.select("sample_id", "view", prediction.alias("prediction"), error.alias("error"))
     known = samples.filter(has_value(F.col("answer"))).select(
-        "sample_id", "question", F.to_json("answer").alias("ground_truth"), replies.normalize_answer(F.col("answer")).alias("truth_norm")
+        "sample_id", "question", "answer", F.to_json("answer").alias("ground_truth"), replies.normalize_answer(F.col("answer")).alias("truth_norm")
     )
     joined = read.join(known, "sample_id").withColumn("prediction_norm", F.lower("prediction"))
     return scoring.score(joined).drop("prediction_norm", "truth_norm")
@@ -67,10 +67,11 @@ def repair_requests(requests: DataFrame, failed: DataFrame, dialect: str = "Spar
 
 
 def judge_requests(results: DataFrame) -> DataFrame:
-    """Judge requests of all results whose truth (VARIANT ``answer``) counts."""
+    """Judge requests of all results whose truth (VARIANT ``answer``) counts, one per sample and view."""
+    key = ["sample_id", "view"] if "view" in results.columns else ["sample_id"]
     counted = results.filter(~is_falsy(F.col("answer")))
     prompt = prompts.judge_prompt(F.coalesce(F.trim("prediction"), F.lit("None")), replies.judge_text(F.col("answer")))
-    return exchange.make_requests(counted, "judge", ["sample_id"], prompt)
+    return exchange.make_requests(counted, "judge", key, prompt)
 
 
 def judge_results(requests: DataFrame, answered: DataFrame) -> DataFrame:

@@ -33,10 +33,11 @@ def catalog_subsets(
     return tagged.withColumn("subset", selection.subset_label(short_max, long_min)).filter(F.col("subset").isNotNull())
 
 
-def answered_subset(subset: DataFrame, quality: DataFrame, per_type: int = selection.SAMPLES_PER_TYPE, seed: int = 42) -> DataFrame:
-    """Questions whose answer says something, at most ``per_type`` of each type."""
+def answered_subset(subset: DataFrame, quality: DataFrame, per_type: int | None = None, seed: int = 42) -> DataFrame:
+    """Questions whose answer says something, with ``per_type`` at most so many of each type."""
     meaningful = quality.filter("meaningful").select("sample_id")
-    return selection.sample_per_type(subset.join(meaningful, "sample_id", "left_semi"), per_type, seed)
+    kept = subset.join(meaningful, "sample_id", "left_semi")
+    return kept if per_type is None else selection.sample_per_type(kept, per_type, seed)
 
 
 def markdown_subset(
@@ -50,7 +51,8 @@ def markdown_subset(
     """Questions of one sub-task on flat Markdown tables of a given length.
 
     ``questions`` is (sample_id, table_id, sub_task, questions, golden VARIANT) and ``meta``
-    (table_id, ord, struct_type, markdown, pre_context, post_context).  A question
+    (table_id, ord, struct_type, markdown, pre_context, post_context), with ``part`` if the Markdown
+    of a long table comes in numbered parts.  A question
     without a first final answer is left out.
     """
     asked = questions.filter(F.col("sub_task") == sub_task).withColumn(
@@ -81,10 +83,10 @@ def multi_table_subsets(
     short: tuple[int, int] = (1, selection.SHORT_MAX_ROWS),
     long_min: int = selection.LONG_MIN_ROWS,
     min_tables: int = 2,
-    per_group: int = selection.SAMPLES_PER_TYPE,
+    per_group: int | None = None,
     with_any_length: bool = False,
 ) -> DataFrame:
-    """Samples with enough short, or enough long tables: the first ones of every group, as (subset, group, sample_id, ord).
+    """Samples with enough short, or enough long tables, as (subset, group, sample_id, ord); with ``per_group`` the first ones.
 
     ``group`` tells files apart, such as those of two-table and three-table samples.
     """
@@ -93,7 +95,8 @@ def multi_table_subsets(
     parts = []
     for name, (low, high) in ranges.items():
         kept = selection.samples_with_tables_in_range(tables, low, high, min_tables).join(groups, "sample_id")
-        parts.append(selection.first_n(kept, group, per_group).select(F.lit(name).alias("subset"), group, "sample_id", "ord"))
+        first = kept if per_group is None else selection.first_n(kept, group, per_group)
+        parts.append(first.select(F.lit(name).alias("subset"), group, "sample_id", "ord"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

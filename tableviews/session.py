@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Session setting that remembers our own folder.
-OWN_FOLDER = "tableviews.folder"
-
 # Runtime SQL settings: skewed joins are split even when that costs an extra
 # exchange, partitions are coalesced after a shuffle, times are read as UTC.
 # A side is broadcast on its estimated size only below 1 MB, as estimates rest on
@@ -50,31 +46,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the cluster's, or one of our own on a single machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set(OWN_FOLDER, folder)
-    return folder
+    """The shared folder for intermediate tables: the one the session names, else one below the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once and go on from its files.
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write an intermediate result once and go on from its files, below ``folder`` or the shared folder.
 
     For results that several outputs are made of: they are computed once, their
-    lineage ends here, and readers take only the columns they need.
+    lineage ends here, and readers take only the columns they need.  Who names the
+    folder removes it.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/tableviews-{uuid.uuid4().hex}"
+    path = f"{folder or checkpoint_folder(df.sparkSession)}/tableviews-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input has fewer splits than there are cores.
-
-    For small inputs with heavy work per row; large inputs have more splits and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Deal rows out to a number of partitions that the caller names; for sources of few splits with heavy work per row."""
+    return df.repartition(partitions)

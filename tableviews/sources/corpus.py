@@ -8,25 +8,40 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tableviews.session import spread
 
+# A file of one list is read by one task; larger corpora come as JSON lines.
+MOST_ARRAY_BYTES = 1 << 28
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A file that holds one list of records, as (ord, record).
+# Places of one split end here, so the places of several splits never meet.
+SPLIT_PLACES = 1 << 40
 
-    One task reads the file; the records are then dealt out to all cores.  A large
-    corpus should come as JSON lines.
+
+def read_json_array(spark: SparkSession, path: str, partitions: int | None = None, most_bytes: int = MOST_ARRAY_BYTES) -> DataFrame:
+    """A file that holds one list of records, as (ord, record); ``partitions`` deals the records out.
+
+    One task reads the file.  A file that is no list of records, or is larger than
+    ``most_bytes``, ends the job with an error.
     """
-    text = spark.read.text(path, wholetext=True)
-    listed = text.select(F.posexplode(F.from_json("value", "array<variant>")).alias("ord", "record"))
-    return spread(listed.select(F.col("ord").cast("bigint").alias("ord"), "record"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_path").alias("file"))
+    fits = F.when(F.col("size") > most_bytes, F.raise_error(F.concat("file", F.lit(" is too large for one task; write it as JSON lines")))).otherwise(F.col("value"))
+    # a failed parse is no list of any length
+    parsed = text.select("file", F.from_json(fits, "array<variant>").alias("records"))
+    whole = F.when(F.col("records").isNull(), F.raise_error(F.concat("file", F.lit(" holds no JSON list"))).cast("array<variant>")).otherwise(F.col("records"))
+    listed = parsed.select(F.posexplode(whole).alias("ord", "record")).select(F.col("ord").cast("bigint").alias("ord"), "record")
+    return spread(listed, partitions) if partitions else listed
+
 
+def read_json_lines(spark: SparkSession, path: str, rejected: str = "fail") -> DataFrame:
+    """One record per line, as (ord, record).  NaN and infinities are numbers, empty lines are no records.
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One record per line, as (ord, record); lines that are no JSON are left out.
+    ``rejected`` says what becomes of a line that is no JSON: ``fail`` ends the job with an
+    error; ``rows`` keeps it, with ``record`` NULL and its text in a third column ``rejected``.
 
     ``ord`` follows file name, place of the split in the file, and line.  Only the line
-    counts of the splits are accumulated; the lines get the offset of their split by a
-    join with that short list and are not sorted or moved for it.
+    counts of the splits are accumulated, in one task (a row for each file split); the lines
+    get the offset of their split by a join with that short list and are not sorted or moved.
     """
+    if rejected not in ("fail", "rows"):
+        raise ValueError("rejected must be fail or rows")
     lines = spark.read.text(path).filter(F.trim("value") != "").select(
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
@@ -38,15 +53,22 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     offsets = splits.select("__file", "__start", "__first", F.coalesce(F.sum("__n").over(in_order), F.lit(0)).alias("__before"))
     placed = lines.join(offsets, ["__file", "__start"])
     parsed = placed.select(
-        (F.col("__before") + F.col("__line") - F.col("__first")).alias("ord"), F.try_parse_json("value").alias("record")
+        (F.col("__before") + F.col("__line") - F.col("__first")).alias("ord"), F.from_json("value", "variant").alias("record"), "value"
     )
-    return parsed.filter(F.col("record").isNotNull())
+    lost = F.col("record").isNull()
+    if rejected == "rows":
+        return parsed.select("ord", "record", F.when(lost, F.col("value")).alias("rejected"))
+    message = F.concat(F.lit("line "), F.col("ord").cast("string"), F.lit(" is no JSON: "), F.substring("value", 1, 80))
+    return parsed.select("ord", F.when(lost, F.raise_error(message).cast("variant")).otherwise(F.col("record")).alias("record"))
 
 
 def read_splits(spark: SparkSession, paths: Mapping[str, str], lines: bool = False) -> DataFrame:
-    """Several splits of a corpus in one DataFrame with ``split``."""
+    """Several splits of a corpus in one DataFrame with ``split``; ``ord`` goes on from split to split."""
     reader = read_json_lines if lines else read_json_array
-    parts = [reader(spark, path).withColumn("split", F.lit(name)) for name, path in paths.items()]
+    parts = [
+        reader(spark, path).withColumns({"split": F.lit(name), "ord": F.col("ord") + F.lit(k * SPLIT_PLACES)})
+        for k, (name, path) in enumerate(paths.items())
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -58,7 +80,7 @@ def read_questions(spark: SparkSession, paths: Mapping[str, str], lines: bool =
     records = read_splits(spark, paths, lines)
     get = lambda p: F.try_variant_get("record", p, "string")
     return records.select(
-        F.concat_ws("_", "split", F.coalesce(get("$.question_id"), F.col("ord").cast("string"))).alias("sample_id"),
+        F.concat_ws("_", "split", F.coalesce(get("$.question_id"), (F.col("ord") % SPLIT_PLACES).cast("string"))).alias("sample_id"),
         "ord",
         "split",
         get("$.db_id").alias("db"),

@@ -17,9 +17,13 @@ META_DDL = (
 )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; cells may hold line breaks and doubled quotes."""
-    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; cells may hold line breaks and doubled quotes.
+
+    With line breaks in cells a file is one task, so large tables come as many files, or, if
+    no cell holds a line break, with ``multi_line`` off, which splits files.
+    """
+    return spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_csv(df: DataFrame, path: str, order_by: Sequence[str | Column], mode: str = "errorifexists") -> None:
@@ -49,9 +53,13 @@ def printable_profile(profile: DataFrame) -> DataFrame:
     return profile.withColumn("match_rate", percent_text(F.col("match_rate"))).withColumnRenamed("table_name", "table")
 
 
-def read_metadata(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """Database metadata: names, ordered columns with their table index, keys."""
-    parts = [spark.read.schema(META_DDL).option("multiLine", True).json(path) for path in paths.values()]
+def read_metadata(spark: SparkSession, paths: Mapping[str, str], lines: bool = False) -> DataFrame:
+    """Database metadata: names, ordered columns with their table index, keys.
+
+    A file is one list of databases, or one database a line with ``lines``.  Text that is no JSON is an error.
+    """
+    reader = spark.read.schema(META_DDL).option("multiLine", not lines).option("mode", "FAILFAST")
+    parts = [reader.json(path) for path in paths.values()]
     raw = parts[0]
     for part in parts[1:]:
         raw = raw.unionByName(part)

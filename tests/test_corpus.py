@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from conftest import RECORDS
 from pyspark.sql import functions as F
 
@@ -62,9 +64,24 @@ def test_json_lines_keep_input_order(spark, tmp_path):
     for f in range(3):
         lines = "\n".join(json.dumps({"id_": f"{f}-{i}"}) for i in range(50))
         (tmp_path / f"part{f}.jsonl").write_text(lines + "\nnot json\n\n")
-    read = source.read_json_lines(spark, str(tmp_path)).select("ord", reshape.record_id().alias("id"))
-    got = [r.id for r in read.orderBy("ord").collect()]
+    read = source.read_json_lines(spark, str(tmp_path), rejected="rows")
+    got = [r.id for r in read.filter("rejected IS NULL").select("ord", reshape.record_id().alias("id")).orderBy("ord").collect()]
     assert got == [f"{f}-{i}" for f in range(3) for i in range(50)]
+    assert [r.rejected for r in read.filter("rejected IS NOT NULL").collect()] == ["not json"] * 3
+    with pytest.raises(Exception, match="is no JSON"):
+        source.read_json_lines(spark, str(tmp_path)).select(F.to_json("record")).collect()
+
+
+def test_malformed_lists_are_errors_and_nan_is_read(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('[{"id_": 1},, {"id_": 2}]')
+    with pytest.raises(Exception, match="holds no JSON list"):
+        source.read_json_array(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "nan.json").write_text('[{"id_": "x", "v": NaN}]')
+    (tmp_path / "nan.jsonl").write_text('{"id_": "x", "v": NaN}')
+    both = [source.read_json_array(spark, str(tmp_path / "nan.json")), source.read_json_lines(spark, str(tmp_path / "nan.jsonl"))]
+    assert [df.select(reshape.field("v").alias("v")).first().v for df in both] == ["NaN", "NaN"]
+    with pytest.raises(Exception, match="too large"):
+        source.read_json_array(spark, str(tmp_path / "nan.json"), most_bytes=5).collect()
 
 
 def test_question_splits(spark, tmp_path):
@@ -141,7 +158,7 @@ def test_rendering(corpus):
     text = views[("s4", "unstructured")].prompt
     assert "[Textual Information]\nOne. Two.\n\n[Question]\n?" in text
     assert views[("s4", "unstructured")].n_tokens_est == -(-len(text) // 4)
-    assert views[("s1", "structured")].error == "prompt_too_long" and views[("s1", "structured")].prompt is None
+    assert views[("s1", "structured")].error == "prompt_too_long" and "| lamp | red |" in views[("s1", "structured")].prompt
 
 
 def test_sizes_agree_with_rendered_prompts(corpus):
@@ -179,5 +196,8 @@ def test_splits_and_versions(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps([record]))
     read = source.read_splits(spark, {n: str(tmp_path / f"{n}.json") for n in ("one", "two")})
     assert rows(read, "split") == [("one",), ("two",)]
+    assert rows(reshape.samples_of(read), "sample_id") == [("one_a",), ("two_a",)]
+    assert read.select("ord").distinct().count() == 2
+    assert rows(reshape.unpaired(read, "raw_tables"), "sample_id", "n_names", "n_tables") == [("one_a", 2, 1), ("two_a", 2, 1)]
     assert rows(reshape.tables_of(read, "raw_tables"), "n_rows", "n_cols") == [(2, 2), (2, 2)]
     assert rows(reshape.tables_of(read), "n_rows", "n_cols") == [(1, 1), (1, 1)]

@@ -116,6 +116,30 @@ def test_judging(corpus):
     assert (total.n, total.n_correct, total.accuracy) == (2, 1, 0.5)
 
 
+def test_every_view_is_judged_apart(spark):
+    results = spark.createDataFrame([("s1", "structured", "x", '"x"'), ("s1", "unstructured", "y", '"x"')], "sample_id string, view string, prediction string, a string")
+    requests = evaluation.judge_requests(results.withColumn("answer", F.parse_json("a")))
+    assert requests.select("request_id").distinct().count() == 2
+    replies = requests.select("request_id", F.when(F.col("view") == "structured", "CORRECT").otherwise("INCORRECT").alias("text"))
+    blank = requests.select("request_id", F.lit(" ").alias("text"))
+    verdicts = {r.view: r.judge_label for r in evaluation.judge_results(requests, replies.unionByName(blank)).collect()}
+    assert verdicts["structured"] == "CORRECT" and verdicts["unstructured"] != "CORRECT"
+
+
+def test_a_long_markdown_table_comes_back_whole(spark):
+    n = 25_000
+    tables = spark.createDataFrame([("t", 0, None, ["a", "b"])], "sample_id string, table_pos int, table_name string, columns array<string>")
+    rows = spark.range(n).select(F.lit("t").alias("sample_id"), F.lit(0).alias("table_pos"), F.col("id").alias("row_pos"), F.array(F.col("id").cast("string"), F.lit("x")).alias("cells"))
+    rendered = prompts.render_tables(rows, tables)
+    assert rendered.count() > 1
+    none = F.array().cast("array<string>")
+    meta = rendered.select(F.col("sample_id").alias("table_id"), F.lit(0).alias("ord"), "part", F.lit("flat").alias("struct_type"), "markdown", none.alias("pre_context"), none.alias("post_context"))
+    golden = '[{"%s": [{"%s": ["yes"]}]}]' % (subsets.ANSWER_LIST, subsets.FINAL_ANSWER)
+    questions = spark.createDataFrame([("q", "t", subsets.SIMPLE_TASK, ["?"], golden)], "sample_id string, table_id string, sub_task string, questions array<string>, g string")
+    got = subsets.markdown_subset(questions.withColumn("golden", F.parse_json("g")), meta, max_rows=None).first()
+    assert got.n_rows == n and got.columns == ["a", "b"] and [r[0] for r in got.rows] == [str(k) for k in range(n)]
+
+
 def test_multi_table_subsets(spark):
     rows = [(f"s{i}", i, "two" if i % 2 else "three", t, 5 + i) for i in range(10) for t in range(2)]
     tables = spark.createDataFrame(rows, "sample_id string, ord long, grp string, table_pos int, n_rows long")

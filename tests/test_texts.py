@@ -156,7 +156,7 @@ def test_falsy(on, value, expected):
 
 
 def test_meaningful(spark):
-    cases = [([], False), (["0"], False), (["0", "1"], True), ([None], False), ([""], False), (["nan"], False), (["x", None], True), (["0.0"], False)]
+    cases = [([], False), (["0"], False), (["0", "1"], True), ([None], False), ([""], False), (["NaN"], False), (["Nan"], True), (["x", None], True), (["0.0"], False)]
     df = spark.createDataFrame([(c[0],) for c in cases], "a array<string>")
     assert [r[0] for r in df.select(cells.is_meaningful(F.col("a"))).collect()] == [c[1] for c in cases]
 
@@ -167,7 +167,16 @@ def test_type_vote(spark):
         (["STRING"], [" 7 "], "INTEGER"), (["STRING", "BIGINT"], ["x", "1"], "INTEGER"), (["STRING"], ["1d"], "TEXT"), (["STRING"], ["1e3"], "REAL"),
     ]
     df = spark.createDataFrame([c[:2] for c in cases], "k array<string>, t array<string>")
-    assert [r[0] for r in df.select(cells.vote_sql_type(F.col("k"), F.col("t"))).collect()] == [c[2] for c in cases]
+    long = df.withColumn("i", F.monotonically_increasing_id()).select("i", F.explode(F.arrays_zip("k", "t")).alias("z"))
+    voted = long.groupBy("i").agg(cells.voted_sql_type(F.col("z.k"), F.col("z.t")).alias("v")).orderBy("i")
+    assert [r.v for r in voted.collect()] == [c[2] for c in cases]
+
+
+def test_nested_answers_are_flat_or_fail(on):
+    deep = "[" * 9 + "1, 2" + "]" * 9
+    assert on(deep, lambda x: F.transform(cells.flat_values(F.parse_json(x)), lambda v: v.cast("string"))) == ["1", "2"]
+    with pytest.raises(Exception, match="nested deeper"):
+        on("[" * 15 + "1" + "]" * 15, lambda x: F.transform(cells.flat_values(F.parse_json(x)), lambda v: v.cast("string")))
 
 
 @pytest.mark.parametrize(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tableviews.functions import cells as cell_functions
 from tableviews.functions import replies
 from tableviews.operators import answers, templates, verbalize
-from tableviews.session import stored
+from tableviews.session import configure, stored
 from workloads.derive import (
     CUSTOMER_SAMPLES, LINE_ROWS, ORDER_ROWS, ORDER_SAMPLES, customer_rows, customer_samples, customer_tables, duck_hash, joined, order_rows,
     order_samples, order_tables, table, with_ctes,
@@ -104,6 +104,23 @@ def recompute_answers(spark, sf_dir):
     return again.select("sample_id", "row_pos", F.array_join("answer", " | ", "none").alias("answer"))
 
 
+@query(
+    "answer_status",
+    with_ctes(ORDER_SAMPLES, LINE_ROWS) + """
+SELECT s.sample_id, CASE WHEN ord % 6 IN (4, 5) THEN 'not supported' WHEN ord % 6 = 3 OR coalesce(n, 0) > 0 THEN 'answered' ELSE 'empty' END AS status,
+ CASE WHEN ord % 6 = 3 THEN 1 WHEN ord % 6 IN (4, 5) THEN 0 ELSE coalesce(n, 0) END AS n_answer_rows
+FROM order_samples s LEFT JOIN (
+ SELECT l.sample_id, count(*) AS n FROM line_rows l JOIN orders ON o_orderkey = l_orderkey
+ WHERE CASE l_orderkey % 6 WHEN 1 THEN l_linenumber = l_orderkey % 7 + 1 ELSE l_linestatus = o_orderstatus END GROUP BY l.sample_id) h
+ON h.sample_id = s.sample_id""",
+)
+def answer_status(spark, sf_dir):
+    """What became of every sample of the order corpus, in all its six shapes."""
+    tables, samples = order_tables(spark, sf_dir), order_samples(spark, sf_dir)
+    found = answers.recompute_answers(samples, tables, order_rows(spark, sf_dir))
+    return answers.answer_status(samples, tables, found)
+
+
 # Texts over the large tables; the last one names a column that does not exist.
 WORKLOAD = [
     ("customers_per_segment", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment;"),
@@ -111,8 +128,25 @@ WORKLOAD = [
     ("nation_region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     ("part_brands", "SELECT p_brand, min(p_size) AS low, max(p_size) AS high FROM part GROUP BY p_brand"),
     ("late_lines", "SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey HAVING sum(l_quantity) > 100"),
+    ("same_names", "SELECT a.r_name, b.r_name, CAST(NULL AS INT) AS gap FROM region a JOIN region b ON a.r_regionkey = b.r_regionkey"),
+    ("ranked", "SELECT n_name FROM nation ORDER BY n_name DESC"),
+    ("divided", "SELECT 1 / (n_regionkey - n_regionkey) AS x FROM nation"),
+    ("dropped", "DROP VIEW nation"),
     ("broken", "SELECT no_such_column FROM orders"),
 ]
+# What becomes of the texts that fail.
+_FAILING = {"divided": "DIVIDE_BY_ZERO", "dropped": "Only SELECT is allowed.", "broken": "UNRESOLVED_COLUMN.WITH_SUGGESTION"}
+
+
+def _done(spark, sf_dir):
+    """The texts run in a session of their own, so that views of the user's session stay."""
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(key, spark.conf.get(key))
+    configure(own)
+    for name in ("customer", "orders", "nation", "region", "part", "lineitem"):
+        table(own, sf_dir, name).createOrReplaceTempView(name)
+    return answers.run_workload(own, WORKLOAD)
 
 
 def _duck_workload() -> str:
@@ -120,36 +154,35 @@ def _duck_workload() -> str:
     keys = {
         "customers_per_segment": "c_mktsegment || '/' || n", "urgent_orders": "CAST(o_orderkey AS VARCHAR)",
         "nation_region": "n_name || '/' || r_name", "part_brands": "p_brand || '/' || low || '/' || high",
-        "late_lines": "l_orderkey || '/' || CAST(q AS VARCHAR)",
+        "late_lines": "l_orderkey || '/' || CAST(q AS VARCHAR)", "same_names": "r_name || '/' || r_name_1 || '/none'", "ranked": "n_name",
     }
-    for name, text in WORKLOAD[:-1]:
-        inner = text.rstrip(";")
-        parts.append(f"SELECT '{name}' AS query_id, {keys[name]} AS row_text, 'none' AS error FROM ({inner})")
-    parts.append("SELECT 'broken', 'none', 'UNRESOLVED_COLUMN.WITH_SUGGESTION'")
+    for name, text in WORKLOAD:
+        inner = text.rstrip(";").replace("a.r_name, b.r_name", "a.r_name, b.r_name AS r_name_1")
+        if name in _FAILING:
+            parts.append(f"SELECT '{name}', CAST(NULL AS BIGINT), 'none', '{_FAILING[name]}'")
+            continue
+        place = "row_number() OVER (ORDER BY n_name DESC) - 1" if name == "ranked" else "CAST(NULL AS BIGINT)"
+        parts.append(f"SELECT '{name}' AS query_id, {place} AS row_pos, {keys[name]} AS row_text, 'none' AS error FROM ({inner})")
     return " UNION ALL ".join(parts)
 
 
 @query("workload", _duck_workload())
 def workload(spark, sf_dir):
-    """Each text planned on its own, all results in one table; a broken text is a row with its error."""
-    for name in ("customer", "orders", "nation", "region", "part", "lineitem"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    done = answers.run_workload(spark, WORKLOAD)
+    """Each text run on its own, all results in one table; a text that fails or is no SELECT is a row with its error."""
+    done = _done(spark, sf_dir)
     fields = F.from_json("row_json", "map<string,string>")
-    text = F.array_join(F.map_values(fields), "/")
-    return done.select("query_id", F.coalesce(text, F.lit("none")).alias("row_text"), F.coalesce("error", F.lit("none")).alias("error"))
+    text = F.array_join(F.map_values(fields), "/", "none")
+    return done.select("query_id", "row_pos", F.coalesce(text, F.lit("none")).alias("row_text"), F.coalesce("error", F.lit("none")).alias("error"))
 
 
 @query(
     "workload_outcomes",
-    "SELECT (SELECT count(*) FROM (" + _duck_workload() + ") WHERE error = 'none') AS n_ok, 1 AS n_failed",
+    "SELECT (SELECT count(*) FROM (" + _duck_workload() + ") WHERE error = 'none') AS n_ok, " + str(len(_FAILING)) + " AS n_failed",
 )
 def workload_outcomes(spark, sf_dir):
     from tableviews.operators.scoring import outcome_counts
 
-    for name in ("customer", "orders", "nation", "region", "part", "lineitem"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return outcome_counts(answers.run_workload(spark, WORKLOAD))
+    return outcome_counts(_done(spark, sf_dir))
 
 
 # Text-to-SQL replies: fenced, bare, with brackets, with a note, and statements that are no SELECT.

@@ -50,8 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for heavy work per row, dealt out to all cores if it is one small file."""
-    return spread(table(spark, sf_dir, name))
+    """A table for heavy work per row, dealt out anew: the given tables are single files of one row group."""
+    return spread(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
 
 
 def names(columns: list[str]) -> Column:

@@ -159,7 +159,7 @@ def column_examples_retry(spark, sf_dir):
     "column_types",
     with_ctes(ORDER_ROWS, _ORDER_CELLS, """votes AS (
  SELECT sample_id, column_name, value, CASE column_name WHEN 'o_orderkey' THEN 'BIGINT' WHEN 'o_totalprice' THEN 'DOUBLE' ELSE 'STRING' END AS kind
- FROM order_cells WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id, column_name ORDER BY row_pos) <= 10)""") + """
+ FROM order_cells WHERE value IS NOT NULL)""") + """
 SELECT sample_id, column_name, CASE WHEN bool_or(kind = 'DOUBLE') THEN 'REAL' WHEN bool_or(kind = 'BIGINT') THEN 'INTEGER'
  WHEN bool_or(TRY_CAST(value AS BIGINT) IS NULL AND TRY_CAST(value AS DOUBLE) IS NOT NULL) THEN 'REAL'
  WHEN bool_or(TRY_CAST(value AS BIGINT) IS NOT NULL) THEN 'INTEGER' ELSE 'TEXT' END AS sql_type
@@ -170,10 +170,10 @@ def column_types(spark, sf_dir):
     return profile.column_types(long, ["sample_id", "column"]).select("sample_id", F.col("column").alias("column_name"), "sql_type")
 
 
-_SIZED = {
-    "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey",
-    "events": "event_id", "documents": "doc_id", "conversations": "conv_id",
-}
+_SIZED = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+]
 
 
 @query(
@@ -199,14 +199,14 @@ def average_table_size(spark, sf_dir):
 
 @query(
     "drop_empty_columns",
-    with_ctes(LINE_ROWS, """kept AS (
+    with_ctes(ORDER_SAMPLES, LINE_ROWS, """kept AS (
  SELECT sample_id, count(CASE WHEN l_partkey % 4 <> 0 THEN 1 END) > 0 AS has_flag FROM line_rows GROUP BY sample_id)""") + f"""
-SELECT sample_id, CASE WHEN has_flag THEN {len(LINE_COLUMNS)} ELSE {len(LINE_COLUMNS) - 1} END AS n_cols,
- CASE WHEN has_flag THEN '{", ".join(LINE_COLUMNS)}' ELSE '{", ".join(c for c in LINE_COLUMNS if c != "l_returnflag")}' END AS columns
-FROM kept""",
+SELECT s.sample_id, CASE WHEN has_flag IS NULL THEN 0 WHEN has_flag THEN {len(LINE_COLUMNS)} ELSE {len(LINE_COLUMNS) - 1} END AS n_cols,
+ CASE WHEN has_flag IS NULL THEN '' WHEN has_flag THEN '{", ".join(LINE_COLUMNS)}' ELSE '{", ".join(c for c in LINE_COLUMNS if c != "l_returnflag")}' END AS columns
+FROM order_samples s LEFT JOIN kept k ON k.sample_id = s.sample_id""",
 )
 def drop_empty_columns(spark, sf_dir):
-    tables = order_tables(spark, sf_dir).filter("n_rows > 0")
+    tables = order_tables(spark, sf_dir)
     _, narrow = reshape.drop_empty_columns(order_rows(spark, sf_dir, nulls=True), tables)
     return narrow.select("sample_id", "n_cols", joined("columns").alias("columns"))
 

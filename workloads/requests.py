@@ -87,11 +87,10 @@ _VIEWS = with_ctes(
 
 @query(
     "prompt_views",
-    _VIEWS + f"""SELECT sample_id, view, n_tokens_est, CASE WHEN n_tokens_est <= {BUDGET} THEN prompt END AS prompt,
- CASE WHEN n_tokens_est > {BUDGET} THEN 'prompt_too_long' END AS error FROM sized""",
+    _VIEWS + f"""SELECT sample_id, view, n_tokens_est, prompt, CASE WHEN n_tokens_est > {BUDGET} THEN 'prompt_too_long' END AS error FROM sized""",
 )
 def prompt_views(spark, sf_dir):
-    """Three views per sample; prompts beyond the budget are reported with their size."""
+    """Three whole views per sample; those beyond the budget are marked."""
     return prompts.qa_views(
         customer_samples(spark, sf_dir), customer_tables(spark, sf_dir), customer_rows(spark, sf_dir), _segments(spark, sf_dir), budget=BUDGET
     )
@@ -99,15 +98,14 @@ def prompt_views(spark, sf_dir):
 
 @query(
     "answered_views",
-    _VIEWS + f"""SELECT view, count(*) AS n, count(*) FILTER (n_tokens_est > {BUDGET}) AS n_skipped,
- count(*) FILTER (n_tokens_est <= {BUDGET} AND CAST(sample_id AS BIGINT) % 3 = 1) AS em,
- count(*) FILTER (n_tokens_est <= {BUDGET} AND CAST(sample_id AS BIGINT) % 3 <> 0) AS pm,
- count(*) FILTER (n_tokens_est <= {BUDGET} AND CAST(sample_id AS BIGINT) % 3 = 0) AS n_silent FROM sized GROUP BY view""",
+    _VIEWS + """SELECT view, count(*) AS n, 0 AS n_skipped, count(*) FILTER (CAST(sample_id AS BIGINT) % 3 = 1) AS em,
+ count(*) FILTER (CAST(sample_id AS BIGINT) % 3 <> 0) AS pm,
+ count(*) FILTER (CAST(sample_id AS BIGINT) % 3 = 0) AS n_silent FROM sized GROUP BY view""",
 )
 def answered_views(spark, sf_dir):
     """Requests, replies and scores of a whole run, per view."""
     samples = customer_samples(spark, sf_dir).withColumn("answer", F.parse_json(F.concat(F.lit('[["Nr '), "sample_id", F.lit('"]]'))))
-    views = prompts.qa_views(samples, customer_tables(spark, sf_dir), customer_rows(spark, sf_dir), _segments(spark, sf_dir), budget=BUDGET)
+    views = prompts.qa_views(samples, customer_tables(spark, sf_dir), customer_rows(spark, sf_dir), _segments(spark, sf_dir))
     requests = evaluation.qa_requests(views)
     third = F.col("sample_id").cast("bigint") % 3
     answered = requests.filter(third != 0).select(
@@ -324,15 +322,14 @@ def template_placeholders(spark, sf_dir):
 
 @query(
     "markdown_rows",
-    r"""WITH lines AS (SELECT doc_id, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS ls FROM documents WHERE contains(text, '|')),
+    r"""WITH lines AS (SELECT doc_id, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS ls FROM documents),
 heads AS (SELECT doc_id, ls, list_transform(string_split(trim(ls[1], '|'), '|'), lambda x: trim(x)) AS h FROM lines WHERE len(ls) >= 2),
 body AS (SELECT doc_id, h, unnest(ls[3:]) AS l FROM heads), cut AS (SELECT doc_id, h, list_transform(string_split(trim(l, '|'), '|'), lambda x: trim(x)) AS c FROM body)
 SELECT doc_id, len(h) AS n_columns, array_to_string(c, '~') AS cells FROM cut WHERE len(c) = len(h)""",
 )
 def markdown_rows(spark, sf_dir):
     """Markdown tables in texts: header, and the rows of the same arity."""
-    docs = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("|")))
-    parsed = docs.select("doc_id", markdown.parse_table(F.col("text")).alias("t"))
+    parsed = table(spark, sf_dir, "documents").select("doc_id", markdown.parse_table(F.col("text")).alias("t"))
     return parsed.select("doc_id", F.size("t.columns").alias("n_columns"), F.explode_outer("t.rows").alias("r")).filter(F.col("r").isNotNull()).select(
         "doc_id", "n_columns", joined("r", "~").alias("cells")
     )

@@ -152,7 +152,7 @@ def replies_joined(spark, sf_dir):
 
 @query(
     "reply_function",
-    "SELECT md5(concat_ws('|', 'answer', CAST(c_custkey AS VARCHAR))) AS request_id, upper(c_name) AS text FROM customer",
+    '''SELECT md5('["answer","' || CAST(c_custkey AS VARCHAR) || '"]') AS request_id, upper(c_name) AS text FROM customer''',
 )
 def reply_function(spark, sf_dir):
     """Requests answered by a user function over batches."""

@@ -191,7 +191,7 @@ def multi_table_union(spark, sf_dir):
     + f"SELECT sql_type, sample_id FROM tags QUALIFY row_number() OVER (PARTITION BY sql_type ORDER BY {duck_hash(42, 'sample_id')}, sample_id) <= 100",
 )
 def sample_per_type(spark, sf_dir):
-    return selection.sample_per_type(selection.tag_queries(_samples(spark, sf_dir))).select("sql_type", "sample_id")
+    return selection.sample_per_type(selection.tag_queries(_samples(spark, sf_dir)), 100).select("sql_type", "sample_id")
 
 
 @query(
@@ -202,7 +202,7 @@ QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY {duck_hash(42, 'l_
 def row_cap(spark, sf_dir):
     row_id = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", *row_id)
-    return selection.cap_rows(rows, ["l_returnflag"], row_id)
+    return selection.cap_rows(rows, ["l_returnflag"], row_id, 1000)
 
 
 @query("first_samples", with_ctes(CUSTOMER_SAMPLES) + "SELECT sample_id, ord FROM customer_samples WHERE ord < 50")
@@ -260,15 +260,13 @@ def database_keys(spark, sf_dir):
 @query(
     "query_table_content",
     with_ctes(CUSTOMER_SAMPLES, "samples AS (SELECT * FROM customer_samples)", _TAGGED)
-    + f"""SELECT t.sample_id, o.o_orderkey, o.o_totalprice FROM tags t JOIN (
- SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {duck_hash(42, 'o_orderkey')}, o_orderkey) <= 5) o ON o.o_custkey = t.ord
+    + f"""SELECT t.sample_id, o.o_orderkey, o.o_totalprice FROM tags t JOIN orders o ON o.o_custkey = t.ord
 WHERE t.sql_type = 'SimpleProjection'""",
 )
 def query_table_content(spark, sf_dir):
-    """Kept queries with the capped content of their table."""
+    """Kept queries with the whole content of their table."""
     kept = selection.tag_queries(customer_samples(spark, sf_dir)).filter(selection.mode_matches("lookup"))
-    capped = selection.cap_rows(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], cap=5)
-    return kept.join(capped, F.col("ord") == F.col("o_custkey")).select("sample_id", "o_orderkey", "o_totalprice")
+    return kept.join(table(spark, sf_dir, "orders"), F.col("ord") == F.col("o_custkey")).select("sample_id", "o_orderkey", "o_totalprice")
 
 
 @query(
