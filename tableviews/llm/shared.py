@@ -59,8 +59,15 @@ class PieceTable(dict):
 
 
 def _word_hashes(pieces: list[str]) -> list[bytes]:
-    digest = xxhash.xxh3_64_intdigest
-    return [b"".join(digest(word.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for word in WORD.findall(piece.lower())) for piece in pieces]
+    def hashed(word: str) -> bytes:
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")).to_bytes(8, "little")
+
+    def of(piece: str) -> bytes:
+        # most pieces are one word with signs around it
+        word = piece.strip(".,;:!?$%&#*|").lower()
+        return hashed(word) if word.isalnum() else b"".join(map(hashed, WORD.findall(piece.lower())))
+
+    return [of(piece) for piece in pieces]
 
 
 class WordHashes:
