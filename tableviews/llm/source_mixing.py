@@ -72,7 +72,9 @@ def topic_model(profiles: DataFrame, topics: int = TOPICS, most: int = TOPIC_SAM
     n = profiles.count()
     share = math.ceil(1_000_000 * most / max(1, n))
     vector = array_to_vector(F.col("__profile").cast("array<double>")).alias("x")
-    chosen = stored(profiles.filter(F.pmod(F.xxhash64(F.lit(SEED), "__key"), F.lit(1_000_000)) < share).select("__lang", "__profile", vector).coalesce(8))
+    sample = profiles.filter(F.pmod(F.xxhash64(F.lit(SEED), "__key"), F.lit(1_000_000)) < share)
+    # about `most` rows in the order of their keys, so that the topics don't depend on how the input is dealt
+    chosen = stored(sample.repartition(1).sortWithinPartitions("__key", "__lang").select("__lang", "__profile", vector))
     # no more languages than sampled rows
     means = {row["__lang"]: row["m"].toArray() for row in chosen.groupBy("__lang").agg(Summarizer.mean(F.col("x")).alias("m")).collect()}
     if not means:
