@@ -117,9 +117,10 @@ def answer_lookups(queries: DataFrame, tables: DataFrame, rows: DataFrame, ignor
     hits = met.filter(
         F.forall("preds", lambda p: predicate_holds(F.get("cells", p["at"]), p, ignore_case))
     ).select("sample_id", "row_pos", "dedupe", "row_limit", cells_at(F.col("shown_at"), F.col("cells")).alias("answer"))
-    once = hits.groupBy(
-        "sample_id", "answer", "dedupe", "row_limit", F.when(F.col("dedupe"), F.lit(-1)).otherwise(F.col("row_pos")).alias("__id")
-    ).agg(F.min("row_pos").alias("row_pos"))
+    # only DISTINCT texts need their rows together
+    once = hits.filter(~F.col("dedupe")).select("sample_id", "answer", "row_limit", "row_pos").unionByName(
+        hits.filter("dedupe").groupBy("sample_id", "answer", "row_limit").agg(F.min("row_pos").alias("row_pos"))
+    )
     return _limit_rows(once, [F.col("row_pos")], row_slice()).select("sample_id", "row_pos", "answer")
 
 
@@ -165,24 +166,32 @@ def answer_aggregates(queries: DataFrame, tables: DataFrame, rows: DataFrame, ig
     cell = F.when(F.col("target_at") >= 0, F.get("cells", F.col("target_at")))
     number = number_of(cell)
     per_query = ["sample_id", "func", "shows", "order_by", "descending", "row_limit"]
-    summed = met.select(
+    described = met.select(
         *per_query,
         F.get("cells", F.col("group_at")).alias("group_value"),
         F.col("group_at").isNotNull().alias("grouped"),
         (F.col("target_at") == -2).alias("counts_rows"),
         cell.alias("cell"),
         number.alias("number"),
-    ).groupBy(*per_query, "grouped", "group_value").agg(
+    )
+    plain = F.col("cell").rlike(PLAIN_DECIMAL)
+    counted = [
         F.count_if(F.col("counts_rows") | F.col("cell").isNotNull()).alias("n"),
         F.sum("number").alias("total"),
-        F.sum(F.when(F.col("cell").rlike(PLAIN_DECIMAL), F.col("cell").try_cast("decimal(28,8)"))).alias("exact"),
-        F.bool_and(F.col("number").isNull() | F.col("cell").rlike(PLAIN_DECIMAL)).alias("plain"),
+        F.sum(F.when(plain, F.col("cell").try_cast("decimal(28,8)"))).alias("exact"),
+        F.bool_and(F.col("number").isNull() | plain).alias("plain"),
         F.avg("number").alias("mean"),
         F.min("number").alias("low"),
         F.max("number").alias("high"),
-        F.min(F.when(F.col("number").isNull(), F.col("cell"))).alias("low_text"),
-        F.max(F.when(F.col("number").isNull(), F.col("cell"))).alias("high_text"),
         F.bool_and(F.col("cell").isNull() | F.col("cell").rlike(INTEGER_TEXT)).alias("whole"),
+    ]
+    words = F.when(F.col("number").isNull(), F.col("cell"))
+    none = F.lit(None).cast("string")
+    by = [*per_query, "grouped", "group_value"]
+    # extremes of text make Spark sort its rows, so only texts that ask for extremes compute them
+    extreme = F.col("func").isin("min", "max")
+    summed = described.filter(~extreme).groupBy(*by).agg(*counted).withColumns({"low_text": none, "high_text": none}).unionByName(
+        described.filter(extreme).groupBy(*by).agg(*counted, F.min(words).alias("low_text"), F.max(words).alias("high_text"))
     )
     func = F.col("func")
     value = (

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableviews.functions.binding import bind
+from tableviews.functions.cells import NAN_TEXT
 from tableviews.functions.hashing import stable_hash
 from tableviews.functions.text import fill_template
 from tableviews.operators.ordering import fraction_bounds, spread_join, within_bound
 from tableviews.operators.reshape import cells_at, complete_in, positions_in, with_tables, without_positions
 from tableviews.schema import ROWS_PER_PART, TABLE_KEY
+from tableviews.session import stored
 
 SEED = 42
 TABLES_PER_BLOCK = 100
@@ -84,26 +86,16 @@ def described_headers(chosen: DataFrame) -> DataFrame:
     ).withColumn("n_cols", F.size("columns"))
 
 
-def complete_row_ids(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(sample_id, table_pos, row_pos, n_rows) of ``complete_rows``, without moving any cells."""
-    gaps = F.filter(F.transform("cells", lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull())
-    light = rows.select(*TABLE_KEY, "row_pos", "n_rows", gaps.alias("gaps"), F.size("cells").alias("width"))
-    needed = chosen.filter(F.col("set_positions").isNotNull()).withColumn("last_at", F.array_max("set_positions"))
-    joined = with_tables(light, needed, "set_positions", "last_at")
-    whole = ~F.arrays_overlap("set_positions", "gaps") & (F.col("last_at") < F.col("width"))
-    return joined.filter(whole).select(*TABLE_KEY, "row_pos", "n_rows")
-
-
-def split_rows(rows: DataFrame, chosen: DataFrame, ratio: float = ROW_RATIO, seed: int = SEED) -> DataFrame:
+def split_rows(rows: DataFrame, chosen: DataFrame, ratio: float = ROW_RATIO, seed: int = SEED, folder: str | None = None) -> DataFrame:
     """Complete rows with ``taken``: exactly the given share per table becomes text.
 
-    Taken rows get a ``description``; the other rows keep all their cells.  The share is
-    settled on row ids alone; its bound then comes to the rows with the template set.
+    Taken rows get a ``description``; the other rows keep all their cells.  Rows meet their
+    set once and are stored; the share is settled on their ids, and its bound is joined to them.
     """
     h = stable_hash(seed, "sample_id", "table_pos", "row_pos")
-    bounds = fraction_bounds(complete_row_ids(rows, chosen), TABLE_KEY, ratio, h, "row_pos", F.col("n_rows"))
-    complete = complete_rows(rows, chosen.join(bounds, TABLE_KEY, "left"), "last_h", "last_tie")
-    marked = complete.withColumn("__h", h).withColumn("taken", within_bound(F.col("__h"), F.col("row_pos")))
+    complete = stored(complete_rows(rows, chosen), folder)
+    bounds = fraction_bounds(complete.select(*TABLE_KEY, "row_pos", "n_rows"), TABLE_KEY, ratio, h, "row_pos", F.col("n_rows"))
+    marked = complete.join(bounds, TABLE_KEY, "left").withColumn("__h", h).withColumn("taken", within_bound(F.col("__h"), F.col("row_pos")))
     return marked.withColumn("description", F.when(F.col("taken"), sentence(seed, missing="mark"))).drop(
         "set_columns", "templates", "set_positions", "last_h", "last_tie", "__h"
     )
@@ -184,7 +176,7 @@ def status_counts(statuses: DataFrame) -> DataFrame:
 
 def answer_ok(flat: Column) -> Column:
     """Whether an answer may be kept: not empty and no missing cell."""
-    return F.coalesce((F.size(flat) > 0) & F.forall(flat, lambda x: x.isNotNull() & (F.lower(x) != "nan")), F.lit(False))
+    return F.coalesce((F.size(flat) > 0) & F.forall(flat, lambda x: x.isNotNull() & (x != NAN_TEXT)), F.lit(False))
 
 
 def gate_by_answer(samples: DataFrame, flat: str) -> DataFrame:
