@@ -67,20 +67,24 @@ def masked(sql: Column) -> Column:
 
 def unmasked(text: Column, quoted: Column) -> Column:
     """A piece of a masked text with its quoted parts back in place."""
+    def put_back(numbers: Column) -> Column:
+        put = lambda piece, i: F.concat(piece, F.coalesce(F.get(quoted, F.get(numbers, i).try_cast("int")), F.lit("")))
+        return F.array_join(F.transform(F.split(text, MASKED_PART, -1), put), "")
+
     numbers = F.regexp_extract_all(text, F.lit(MASKED_PART), F.lit(1))
-    put = lambda piece, i: F.concat(piece, F.coalesce(F.get(quoted, F.get(numbers, i).try_cast("int")), F.lit("")))
-    return F.array_join(F.transform(F.split(text, MASKED_PART, -1), put), "")
+    return F.when(F.contains(text, F.lit("\u0004")), bind(numbers, put_back)).otherwise(text)
 
 
-def clause_words(text: Column) -> Column:
-    """The words that begin the clauses of a masked line, in order and lower case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(CLAUSE_WORD), F.lit(0)), lambda w: F.lower(w))
+def clauses(text: Column) -> Column:
+    """STRUCT<words, parts> of a masked line: the words that begin its clauses, in order and lower case, and what stands between."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(CLAUSE_WORD), F.lit(0)), lambda w: F.lower(w))
+    return F.struct(words.alias("words"), F.split(text, CLAUSE_WORD, -1).alias("parts"))
 
 
-def clause(text: Column, word: str) -> Column:
+def clause(cut: Column, word: str) -> Column:
     """What follows the first ``word`` up to the next clause; empty if there is none."""
-    at = F.array_position(clause_words(text), F.lit(word)).cast("int")
-    return F.when(at > 0, F.trim(F.get(F.split(text, CLAUSE_WORD, -1), at))).otherwise("")
+    at = F.array_position(cut["words"], F.lit(word)).cast("int")
+    return F.when(at > 0, F.trim(F.get(cut["parts"], at))).otherwise("")
 
 
 def _is_name(item: Column) -> Column:
@@ -93,7 +97,7 @@ def _is_name(item: Column) -> Column:
 def _is_value(item: Column) -> Column:
     """A number with digits on both sides of its point, or one quoted part that is no name."""
     number = item.rlike(r"^[+-]?\d+$") | item.rlike(r"^[+-]?\d+\.\d+$")
-    return number | (item.rlike(f"^{MASKED_PART}$") & ~F.startswith(item, F.lit(MASKED_NAME)))
+    return (item.rlike(f"^{MASKED_PART}$") & ~F.startswith(item, F.lit(MASKED_NAME))) | number
 
 
 def _all_trimmed(items: Column) -> Column:
@@ -106,21 +110,30 @@ def is_lookup(sql: Column) -> Column:
 
 
 def _line_is_lookup(q: Column) -> Column:
+    return lookup_parts(q).isNotNull()
+
+
+def lookup_parts(q: Column) -> Column:
+    """STRUCT<preds, names> of a line that is a lookup: its predicates and bare column names; NULL for any other."""
+    def listed_names(cut: Column) -> Column:
+        return _all_trimmed(F.split(F.regexp_replace(clause(cut, "select"), r"(?i)^distinct\s+", ""), ","))
+
+    def put_together(c: Column, quoted: Column) -> Column:
+        fits = c["preds"].isNotNull() & F.forall(c["listed"], lambda item: (item == "*") | _is_name(item))
+        names = F.transform(c["listed"], lambda item: bare_name(unmasked(item, quoted)))
+        return F.when(fits, F.struct(c["preds"].alias("preds"), names.alias("names")))
+
+    def of_clauses(cut: Column, quoted: Column) -> Column:
+        fits = cut["words"].isin(*[F.array(*[F.lit(w) for w in words]) for words in LOOKUP_CLAUSES])
+        pieces = F.struct(_masked_predicates(clause(cut, "where"), quoted).alias("preds"), listed_names(cut).alias("listed"))
+        return F.when(fits, bind(pieces, lambda c: put_together(c, quoted)))
+
     def of_masked(m: Column) -> Column:
-        text = m["text"]
-        fits = F.lit(False)
-        for words in LOOKUP_CLAUSES:
-            fits = fits | (clause_words(text) == F.array(*[F.lit(w) for w in words]))
-        listed = _all_trimmed(F.split(F.regexp_replace(clause(text, "select"), r"(?i)^distinct\s+", ""), ","))
-        return (
-            fits
-            & ~q.rlike(NO_LOOKUP_WORD)
-            & (F.size(sql_tables(q)) == 1)
-            & F.forall(listed, lambda item: (item == "*") | _is_name(item))
-            & _masked_predicates(clause(text, "where"), m["quoted"]).isNotNull()
-        )
+        return bind(clauses(m["text"]), lambda cut: of_clauses(cut, m["quoted"]))
 
-    return bind(masked(q), of_masked)
+    # the cheap tests come first, as most texts fail them
+    possible = ~q.rlike(NO_LOOKUP_WORD) & (F.size(sql_tables(q)) == 1)
+    return F.when(possible, bind(masked(q), of_masked))
 
 
 def sql_tags(sql: Column) -> Column:
@@ -172,7 +185,7 @@ def bare_name(text: Column) -> Column:
 
 def where_text(sql: Column) -> Column:
     line = F.rtrim(one_line(sql), F.lit("; "))
-    return bind(masked(line), lambda m: F.trim(F.rtrim(unmasked(clause(m["text"], "where"), m["quoted"]), F.lit(";"))))
+    return bind(masked(line), lambda m: F.trim(F.rtrim(unmasked(clause(clauses(m["text"]), "where"), m["quoted"]), F.lit(";"))))
 
 
 PREDICATES = "array<struct<col:string,op:string,args:array<string>>>"
@@ -222,16 +235,7 @@ def _masked_predicates(text: Column, quoted: Column) -> Column:
 
 def select_list(sql: Column) -> Column:
     """The text between SELECT and FROM."""
-    return bind(masked(one_line(sql)), lambda m: unmasked(clause(m["text"], "select"), m["quoted"]))
-
-
-def select_names(sql: Column) -> Column:
-    """Bare column names of the select list, ``*`` included."""
-    def names(m: Column) -> Column:
-        listed = F.split(F.regexp_replace(clause(m["text"], "select"), r"(?i)^distinct\s+", ""), ",")
-        return F.transform(listed, lambda item: bare_name(unmasked(item, m["quoted"])))
-
-    return bind(masked(one_line(sql)), names)
+    return bind(masked(one_line(sql)), lambda m: unmasked(clause(clauses(m["text"]), "select"), m["quoted"]))
 
 
 def is_distinct(sql: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tableviews.functions.binding import bind, with_computed
 from tableviews.functions.cells import INTEGER_TEXT, NAN_TEXT, number_of
 from tableviews.functions.sqltext import (
-    aggregate_spec, is_distinct, is_lookup, limit_of, one_line, predicates, select_names, sql_tables, where_text,
+    aggregate_spec, is_distinct, limit_of, lookup_parts, one_line, sql_tables,
 )
 from tableviews.functions.replies import guard_sql
 from tableviews.operators.reshape import cells_at, with_tables
@@ -83,18 +83,13 @@ def _of_tables(queries: DataFrame, tables: DataFrame) -> DataFrame:
 
 def lookup_specs(queries: DataFrame, tables: DataFrame) -> DataFrame:
     """Lookups among (sample_id, sql), resolved against their table."""
-    spec = bind(
-        F.rtrim(one_line(F.col("sql")), F.lit("; ")),
-        lambda q: F.when(
-            is_lookup(q),
-            F.struct(
-                predicates(where_text(q)).alias("preds"),
-                select_names(q).alias("names"),
-                is_distinct(q).alias("dedupe"),
-                limit_of(q).alias("row_limit"),
-            ),
-        ),
-    )
+    def spec_of(q: Column) -> Column:
+        found = lambda p: F.when(
+            p.isNotNull(), F.struct(p["preds"].alias("preds"), p["names"].alias("names"), is_distinct(q).alias("dedupe"), limit_of(q).alias("row_limit"))
+        )
+        return bind(lookup_parts(q), found)
+
+    spec = bind(F.rtrim(one_line(F.col("sql")), F.lit("; ")), spec_of)
     lookups = with_computed(queries.select("sample_id", "sql"), "spec", spec).filter(F.col("spec").isNotNull())
     found = _of_tables(lookups, tables).select("sample_id", "table_pos", "columns", "n_rows", "spec.*")
     every = F.transform("columns", lambda _, i: i)
