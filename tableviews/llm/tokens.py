@@ -14,6 +14,12 @@ from tableviews.llm.shared import PieceTable
 
 VOCABULARY = "word_bpe_49k.json"
 
+# Signs after a word that are looked up apart from it.
+SIGNS = ".,!?;:$#*&%|"
+
+# Words kept by a worker; the table is emptied beyond.
+KNOWN_WORDS = 900_000
+
 # Marks the piece of a word that ends it, a fixed value of the vocabulary.
 WORD_END = "</w>"
 
@@ -44,7 +50,6 @@ class PieceEncoder:
             self.ends[number] = token.endswith(WORD_END)
         self.table = PieceTable(self._fill, cached)
         self.words: dict[str, bytes] = {}
-        self.cached = cached
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -62,16 +67,14 @@ class PieceEncoder:
         return [raw[a * self.width : b * self.width] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
     def _fill(self, pieces: list[str]) -> list[bytes]:
-        """Ids of new pieces; an ASCII piece is its lower-case letters and the signs after them."""
+        """Ids of new pieces; most are letters with signs after them, which are tokens of their own."""
         known, keys, odd = self.words, [], []
         for piece in pieces:
+            body = piece.rstrip(SIGNS)
             key = None
-            if piece.isascii():
-                body = piece.rstrip(".,!?;:")
-                if body.isalpha():
-                    key = (body.lower(), piece[len(body) :])
-            elif piece.isalpha():
-                key = (piece, "")
+            if body.isalpha():
+                # only ASCII letters are sure to be the same word in either case
+                key = (body.lower() if body.isascii() else body, piece[len(body) :])
             keys.append(key)
             if key is None:
                 odd.append(piece)
@@ -82,7 +85,7 @@ class PieceEncoder:
         known.update((s, self._ids(s).tobytes()) for s in signs)
         others = iter(self._one_by_one(odd))
         values = [next(others) if k is None else known[k[0]] + (known[k[1]] if k[1] else b"") for k in keys]
-        if len(known) > self.cached:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         return values
 
