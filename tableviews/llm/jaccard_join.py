@@ -138,7 +138,8 @@ def leaves_of(sets: DataFrame, runs: int, depth: int, small: int = SMALL) -> Dat
     out = []
     for level in range(depth):
         step = active.withColumn("path", F.col("way")[level])
-        sizes = step.groupBy("path").count().filter("count > 1").withColumnRenamed("count", "size")
+        # a table of its own: adaptive execution splits a hot path only where the join reads plain shuffles
+        sizes = stored(step.groupBy("path").count().filter("count > 1").withColumnRenamed("count", "size"))
         live = stored(step.join(sizes, "path"))
         last = level == depth - 1
         done = live if last else live.filter(F.col("size") <= small)
