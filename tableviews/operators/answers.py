@@ -109,9 +109,10 @@ def answer_lookups(queries: DataFrame, tables: DataFrame, rows: DataFrame, ignor
     """
     specs = lookup_specs(queries, tables)
     met = with_tables(rows, specs, "preds", "shown_at", "dedupe", "row_limit")
-    hits = met.filter(
+    # read by the parts below, so computed once
+    hits = stored(met.filter(
         F.forall("preds", lambda p: predicate_holds(F.get("cells", p["at"]), p, ignore_case))
-    ).select("sample_id", "row_pos", "dedupe", "row_limit", cells_at(F.col("shown_at"), F.col("cells")).alias("answer"))
+    ).select("sample_id", "row_pos", "dedupe", "row_limit", cells_at(F.col("shown_at"), F.col("cells")).alias("answer")))
     # only DISTINCT texts need their rows together
     once = hits.filter(~F.col("dedupe")).select("sample_id", "answer", "row_limit", "row_pos").unionByName(
         hits.filter("dedupe").groupBy("sample_id", "answer", "row_limit").agg(F.min("row_pos").alias("row_pos"))
@@ -161,14 +162,15 @@ def answer_aggregates(queries: DataFrame, tables: DataFrame, rows: DataFrame, ig
     cell = F.when(F.col("target_at") >= 0, F.get("cells", F.col("target_at")))
     number = number_of(cell)
     per_query = ["sample_id", "func", "shows", "order_by", "descending", "row_limit"]
-    described = met.select(
+    # read by the parts below, so computed once
+    described = stored(met.select(
         *per_query,
         F.get("cells", F.col("group_at")).alias("group_value"),
         F.col("group_at").isNotNull().alias("grouped"),
         (F.col("target_at") == -2).alias("counts_rows"),
         cell.alias("cell"),
         number.alias("number"),
-    )
+    ))
     plain = F.col("cell").rlike(PLAIN_DECIMAL)
     counted = [
         F.count_if(F.col("counts_rows") | F.col("cell").isNotNull()).alias("n"),
