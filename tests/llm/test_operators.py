@@ -397,6 +397,19 @@ def test_fuzzy_passages_with_their_places(session):
     assert abs(got[0]["start"] - 900) <= 2 and abs(got[0]["other_start"] - 200) <= 2 and abs(got[0]["other_end"] - 320) <= 2
 
 
+@pytest.mark.parametrize(("n", "identity", "recall"), [(60, 0.92, 0.95), (60, 0.9, 0.9), (100, 0.9, 0.95)])
+def test_fuzzy_passages_by_identity(session, n, identity, recall):
+    draw, rows = random.Random(31), []
+    for k in range(60):
+        words = passage(1000 + k, n).split()
+        near = list(words)
+        for at in draw.sample(range(n), round((1 - identity) * n)):
+            near[at] = f"other{k}x{at}"
+        rows += [(k, passage(2000 + k, 80) + " " + " ".join(words) + " " + passage(3000 + k, 30)), (100 + k, passage(4000 + k, 50) + " " + " ".join(near) + " " + passage(5000 + k, 60))]
+    got = {(r["doc_id"], r["other_id"]) for r in substring_chains.shared_passages(session.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(d == o + 100 for d, o in got) and len(got) >= recall * 60
+
+
 def test_shared_passages_on_hard_rows(hard, nothing):
     got = {(r["doc_id"], r["other_id"]) for r in substring_chains.shared_passages(hard[0]).collect()}
     assert {(3, 2), (5, 4)} <= got and all(d is not None and d > o for d, o in got)
