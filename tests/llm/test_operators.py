@@ -397,6 +397,17 @@ def test_fuzzy_passages_with_their_places(session):
     assert abs(got[0]["start"] - 900) <= 2 and abs(got[0]["other_start"] - 200) <= 2 and abs(got[0]["other_end"] - 320) <= 2
 
 
+def test_exact_passages_are_found_past_smaller_holders_of_a_part(session):
+    rows, want = [], set()
+    for k in range(12):
+        words = passage(300 + k, 60).split()
+        part = words[: 30 + k] if k % 2 else words[15 : 45 + k % 5]
+        rows += [(k, passage(400 + k, 70) + " " + " ".join(part)), (100 + k, passage(500 + k, 90) + " " + " ".join(words) + " " + passage(600 + k, 20)), (200 + k, " ".join(words) + " " + passage(700 + k, 40))]
+        want.add((200 + k, 100 + k))
+    got = substring_chains.shared_passages(session.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want <= {(r["doc_id"], r["other_id"]) for r in got if (r["start"], r["end"], r["other_start"], r["matched"]) == (0, 60, 90, 60)}
+
+
 @pytest.mark.parametrize(("n", "identity", "recall"), [(60, 0.92, 0.95), (60, 0.9, 0.9), (100, 0.9, 0.95)])
 def test_fuzzy_passages_by_identity(session, n, identity, recall):
     draw, rows = random.Random(31), []
