@@ -16,8 +16,9 @@ without words has none and no link.
    of each set and a spanning forest of its links, so what leaves it is no longer than the block.
 5. The forests' components are the classes.
 
-Null texts are empty. Null ids come before all others. Rows that repeat an id count as copies if their texts are
-equal, and one of them stands for all if they are not; each row of the input has its row in the result. Other columns are left out.
+Null texts are empty. Null ids come before all others. Rows that share an id, or have none, count as copies if their
+texts are equal, and are documents of their own if they are not, in the order of their hashes; each row of the input
+has its row in the result. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableviews.llm.components import components
-from tableviews.llm.shared import NULL_ID, WordHashes, batches_by_key, column, order_of, sliced, stored, texts_of
+from tableviews.llm.shared import WordHashes, batches_by_key, column, numbered, order_of, sliced, stored, text_tag, texts_of, with_ids
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -321,11 +322,9 @@ def links(blocks: DataFrame, runs: int, similarity: float) -> DataFrame:
     return dealt_by_block(blocks).mapInArrow(verify, "rep long, links long, other long")
 
 
-def similar_classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
-    """One row for each document: doc_id, class_id (smallest id of its class), n_copies (documents with its very set),
-    n_links (documents linked to it, copies included)."""
+def classes(texts: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
+    """(doc, class, n_copies, n_links) for each row of texts; rows of one doc have one text."""
     runs = runs_for(similarity, depth, recall)
-    texts = docs.select(order_of().alias("doc"), F.col("text").cast("string").alias("text"))
     sketch = stored(sketches(texts, runs, depth))
     sets = sketch.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     members = stored(sketch.select("doc", "k1", "k2").join(sets, ["k1", "k2"]).select("doc", "rep", "copies"))
@@ -348,15 +347,21 @@ def similar_classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall:
     roots = components(verified.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
     counts = verified.filter("links IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     out = texts.select("doc").join(members.dropDuplicates(["doc"]), "doc", "left").join(roots, "rep", "left").join(counts, "rep", "left")
-    of = lambda c: F.nullif(c, F.lit(NULL_ID))
     return out.select(
-        of(F.col("doc")).alias("doc_id"),
-        of(F.coalesce("root", "rep", "doc")).alias("class_id"),
+        "doc",
+        F.coalesce("root", "rep", "doc").alias("class"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
     )
 
 
+def similar_classes(docs: DataFrame, **options) -> DataFrame:
+    """One row for each document: doc_id, class_id (smallest id of its class), n_copies (documents with its very set),
+    n_links (documents linked to it, copies included)."""
+    texts, pairs = numbered(docs)
+    return with_ids(classes(texts, **options), pairs, doc_id="doc", class_id="class").select("doc_id", "class_id", "n_copies", "n_links")
+
+
 def _with_leaf_bytes(runs: int):
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("copies", pa.int64()), ("sig", pa.binary()), ("leaves", pa.binary()), ("held", pa.list_(pa.struct([("run", pa.int32()), ("leaf", pa.int64()), ("size", pa.int64())])))])
 
@@ -374,5 +379,9 @@ def _with_leaf_bytes(runs: int):
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are the smallest of their class, with their own columns."""
-    gone = similar_classes(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__doc"]), "left_anti")
+    texts, pairs = numbered(docs)
+    gone = classes(texts, **options).filter(F.col("doc") != F.col("class")).select("doc").distinct()
+    if pairs is None:
+        return docs.join(gone.select(F.col("doc").alias("__doc")), order_of() == F.col("__doc"), "left_anti")
+    gone = pairs.join(gone, "doc", "left_semi").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"))
+    return docs.join(gone, (order_of() == F.col("__id")) & (text_tag() == F.col("__tag")), "left_anti")

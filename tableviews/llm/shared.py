@@ -24,7 +24,7 @@ CACHED_PIECES = 500_000
 
 WORD = re.compile(r"\w+")
 
-__all__ = ["NULL_ID", "PieceTable", "WordHashes", "batches_by_key", "checkpoint_folder", "column", "filesystem", "new_folder", "stored", "texts_of"]
+__all__ = ["NULL_ID", "PieceTable", "WordHashes", "batches_by_key", "checkpoint_folder", "column", "filesystem", "new_folder", "numbered", "stored", "text_tag", "texts_of"]
 
 
 class PieceTable(dict):
@@ -164,3 +164,33 @@ def ship_package(spark: SparkSession) -> None:
 def order_of(id_col: str = "doc_id"):
     """An id that is never null, in the order of ids."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+
+
+def text_tag(text_col: str = "text"):
+    """A hash of a text; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) of all rows, and what doc means: (doc, id, tag), or nothing where it is the id itself.
+
+    Rows of one id (or without one) with different texts are documents of their own. Where there are such rows, doc
+    numbers the pairs of id and text in the order of ids.
+    """
+    own = docs.select(order_of().alias("doc"), F.col("text").cast("string").alias("text"))
+    if own.groupBy("doc").count().filter("count > 1").isEmpty():
+        return own, None
+    tagged = own.select(F.col("doc").alias("id"), "text", text_tag().alias("tag"))
+    pairs = stored(tagged.select("id", "tag").distinct().orderBy("id", "tag").withColumn("doc", F.monotonically_increasing_id()))
+    return tagged.join(pairs, ["id", "tag"]).select("doc", "text"), pairs
+
+
+def with_ids(rows: DataFrame, pairs: DataFrame | None, **names: str) -> DataFrame:
+    """rows with an id under each new name for the doc in the column named: the opposite of `numbered`."""
+    for new, old in names.items():
+        if pairs is None:
+            rows = rows.withColumn(new, F.col(old))
+        else:
+            rows = rows.join(pairs.select(F.col("doc").alias(old), F.col("id").alias(new)), old)
+        rows = rows.withColumn(new, F.nullif(F.col(new), F.lit(NULL_ID)))
+    return rows

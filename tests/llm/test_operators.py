@@ -274,6 +274,19 @@ def test_classes_on_hard_rows(hard):
     assert kept.columns == hard[0].columns and sorted(r["doc_id"] or -99 for r in kept.collect()) == [-99, -99, -5, 1, 2, 4, 6, 8, 9]
 
 
+def test_texts_that_share_an_id_or_have_none_are_documents_of_their_own(session):
+    one, two, three, four = (passage(800 + k, 120) for k in range(4))
+    near = lambda text: " ".join(text.split()[:-1])
+    rows = [(None, one), (None, two), (None, three), (None, near(three)), (3, near(two)), (3, four), (3, four), (4, near(one)), (5, near(four))]
+    table = session.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(jaccard_join.similar_classes(table), "doc_id", "class_id", "n_copies", "n_links")
+    assert got == sorted([(None, None, 1, 1)] * 4 + [(3, None, 1, 1), (3, 3, 2, 2), (3, 3, 2, 2), (4, None, 1, 1), (5, 3, 1, 2)], key=repr)
+    kept = rows_of(jaccard_join.one_of_each_class(table), "doc_id", "text")
+    assert [r for r in kept if r[1] not in (three, near(three))] == sorted([(None, one), (None, two), (3, four), (3, four)], key=repr) and len(kept) == 5
+    got = {(r["doc_id"], r["other_id"], r["matched"]) for r in substring_chains.shared_passages(table).collect()}
+    assert got == {(3, None, 119), (4, None, 119), (5, 3, 119), (None, None, 119)}
+
+
 # Decontamination
 
 
