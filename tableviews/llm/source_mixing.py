@@ -5,8 +5,9 @@
    character) and is taken relative to its language's mean, so topics cut across languages. With a column `topic` of whole numbers that column is taken.
 2. Tokens are summed over all documents by (source, language, topic).
 3. The cells are raked: weights are scaled to the target share of every source, then of every language, then of every
-   topic, until all three agree with their targets or `ROUNDS` are over. After each round a cell's ratio of wanted to
-   present share is kept within `TRIM`, as is usual in raking, so no rare cell takes over.
+   topic, until all three agree with their targets within `TOLERANCE`. Targets that the present cells cannot meet together are
+   told in a warning. With `trim` a cell's ratio of wanted to present share is kept between two numbers after each
+   round; margins missed by that are told too.
 4. A document's probability is its cell's ratio of wanted to present tokens, scaled so that the largest is 1; a hash of
    its id against that probability says whether it stays. Chances differ by cell only, so expected token shares meet
    the targets.
@@ -20,6 +21,7 @@ alike. With an empty table the result is empty.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,8 +41,8 @@ TOPIC_SAMPLE = 20_000
 TEMPER = 0.7
 SEED = 11
 DIMENSIONS = ("__source", "__lang", "__topic")
-ROUNDS, TOLERANCE = 8, 0.005
-TRIM = (0.2, 3.0)
+# rounds at most, and rounds without progress after which targets are out of reach
+ROUNDS, STILL, TOLERANCE = 10_000, 100, 0.005
 OWN = ["__tokens", "__profile"]
 
 
@@ -123,34 +125,44 @@ def _one(rows: DataFrame, number) -> float:
     return float(rows.agg(number).first()[0] or 0.0)
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, trim: tuple[float, float] = TRIM) -> DataFrame:
+def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, trim: tuple[float, float] | None = None) -> DataFrame:
     """Cells with `weight`, whose sums over each dimension are the targets' shares. cells: the dimensions and tokens > 0.
 
-    Every step ends in a table of cells in the shared folder; rounds stop when no margin was off by more than the tolerance. Categories without a target, or without cells, are left out and the targets scaled to the rest.
+    The rounds run on the driver, on one number for each cell and dimension: cells are combinations of categories, not
+    documents. Categories without a target, or without cells, are left out and the targets scaled to the rest.
     """
     for dimension, target in targets.items():
         cells = cells.join(target.select(dimension, F.col("target").alias(f"t{dimension}")), dimension)
-    total = _one(cells, F.sum("tokens")) or 1.0
-    cells = stored(cells.withColumn("share", F.col("tokens") / F.lit(float(total))).withColumn("weight", F.col("share")).coalesce(8))
-    last = list(targets)[-1]
-    whole = {d: _one(cells.select(d, f"t{d}").distinct(), F.sum(f"t{d}")) for d in targets}
+    cells = stored(cells)
+    spark, table = cells.sparkSession, cells.toArrow()
+    share = np.asarray(table["tokens"], np.float64)
+    share = share / max(share.sum(), 1e-300)
+    codes, wanted = {}, {}
+    for dimension in targets:
+        code = table[dimension].combine_chunks().dictionary_encode()
+        codes[dimension] = np.asarray(code.indices, np.int64)
+        goal = np.zeros(len(code.dictionary))
+        goal[codes[dimension]] = np.asarray(table[f"t{dimension}"], np.float64)
+        wanted[dimension] = goal / max(goal.sum(), 1e-300)
+    weight, history = share.copy(), []
+    sums = lambda d: np.bincount(codes[d], weight, len(wanted[d]))
+    missed = lambda d: float(np.abs(sums(d) - wanted[d]).max(initial=0))
+    off = lambda d: float(np.abs(sums(d) / np.maximum(wanted[d], 1e-300) - 1)[wanted[d] > 0].max(initial=0))
     for _ in range(rounds):
-        worst = 0.0
-        for dimension in targets:
-            # sums, factors and cells in one job; the next step reads its table, so plans don't grow
-            sums = cells.groupBy(dimension).agg(F.sum("weight").alias("__sum"), F.max(f"t{dimension}").alias("__t"))
-            factors = stored(sums.select(dimension, (F.col("__t") / F.lit(whole[dimension]) / F.col("__sum")).alias("__f")).coalesce(1))
-            worst = max(worst, _one(factors, F.max(F.abs(F.col("__f") - 1))))
-            raised = F.col("weight") * F.col("__f")
-            if dimension == last:
-                raised = F.least(F.greatest(raised, F.col("share") * trim[0]), F.col("share") * trim[1])
-            cells = stored(cells.join(factors, dimension).withColumn("weight", raised).drop("__f").coalesce(8))
-        if worst <= tolerance:
+        for d in targets:
+            weight = weight * (wanted[d] / np.maximum(sums(d), 1e-300))[codes[d]]
+        if trim:
+            weight = np.clip(weight, share * trim[0], share * trim[1])
+        history.append(max(map(off, targets)))
+        if history[-1] <= tolerance or (len(history) > STILL and history[-1] > 0.999 * history[-1 - STILL]):
             break
-    return cells
+    if history and history[-1] > tolerance:
+        warnings.warn("targets are missed by a share of up to " + ", ".join(f"{missed(d):.4f} ({d.strip('_')})" for d in targets), stacklevel=2)
+    held = table.select([*targets, "tokens"]).append_column("share", pa.array(share)).append_column("weight", pa.array(weight))
+    return spark.createDataFrame(held)
 
 
-def mixed(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, topics: int = TOPICS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, topics: int = TOPICS, seed: int = SEED, trim: tuple[float, float] | None = None) -> DataFrame:
     """docs with __tokens, __topic, __probability and __kept."""
     targets = targets or {}
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -162,7 +174,7 @@ def mixed(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, tempe
     cells = stored(labelled.groupBy(*DIMENSIONS).agg(F.sum("__tokens").alias("tokens")))
     present = cells.filter("tokens > 0")
     wanted = {d: targets[d] if d in targets else stored(tempered(present, d, temper)) for d in DIMENSIONS}
-    weights = raked(present, wanted).select(*DIMENSIONS, (F.col("weight") / F.col("share")).alias("ratio"))
+    weights = raked(present, wanted, trim=trim).select(*DIMENSIONS, (F.col("weight") / F.col("share")).alias("ratio"))
     probability = weights.withColumn("__probability", F.col("ratio") / F.lit(_one(weights, F.max("ratio")) or 1.0)).drop("ratio")
     drawn = labelled.join(probability, list(DIMENSIONS), "left").withColumn("__probability", F.coalesce("__probability", F.lit(0.0)))
     return drawn.withColumn("__kept", (F.pmod(F.xxhash64(F.lit(seed), "__key"), F.lit(1 << 40)) / float(1 << 40)) < F.col("__probability"))

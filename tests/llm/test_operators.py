@@ -365,6 +365,21 @@ def test_mixing_meets_the_targets_of_plain_raking(session):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_mixture_meets_targets_beyond_three_times_a_share(session):
+    draw = random.Random(12)
+    rows = [(k, "word " * 20, draw.choices(["en", "de"], [0.9, 0.1])[0], draw.choices(["a", "b", "c"], [0.8, 0.15, 0.05])[0], k % 2) for k in range(4000)]
+    table = session.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")
+    goals = {"source": {"a": 0.3, "b": 0.3, "c": 0.4}, "lang": {"en": 0.5, "de": 0.5}}
+    targets = {f"__{d}": session.createDataFrame(list(g.items()), f"__{d} string, target double") for d, g in goals.items()}
+    got = source_mixing.mixture(table, targets=targets).collect()
+    total = sum(r["probability"] * r["n_tokens"] for r in got)
+    for d, goal in goals.items():
+        for name, share in goal.items():
+            assert abs(sum(r["probability"] * r["n_tokens"] for r in got if r[d] == name) / total - share) <= 0.005 * share + 1e-9
+    with pytest.warns(UserWarning, match="targets are missed"):
+        source_mixing.mixture(table, targets=targets, trim=(0.2, 3.0))
+
+
 def test_draws_follow_the_probabilities(session):
     rows = [(k, f"word{k} and more {k % 7}", "en" if k % 3 else "de", "a" if k % 4 else "b", k % 2) for k in range(4000)]
     table = session.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")
