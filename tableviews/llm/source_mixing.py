@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 1. Each document has a number of tokens (blank-separated words) and a topic: the nearest of `TOPICS` centroids of
-   profiles, which k-means finds on a bounded sample. A profile counts the shapes of all words (length, kind of first
+   profiles, which k-means finds on all of them. A profile counts the shapes of all words (length, kind of first
    character) and is taken relative to its language's mean, so topics cut across languages. With a column `topic` of whole numbers that column is taken.
 2. Tokens are summed over all documents by (source, language, topic).
 3. The cells are raked: weights are scaled to the target share of every source, then of every language, then of every
@@ -20,7 +20,6 @@ alike. With an empty table the result is empty.
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Iterable, Iterator
 
@@ -37,7 +36,7 @@ from tableviews.llm.shared import PieceTable, column, sliced, stored, texts_of
 
 TOPICS = 8
 BUCKETS = 64
-TOPIC_SAMPLE = 20_000
+PER_PART = 100_000
 TEMPER = 0.7
 SEED = 11
 DIMENSIONS = ("__source", "__lang", "__topic")
@@ -69,19 +68,17 @@ def with_profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(profile, schema)
 
 
-def topic_model(profiles: DataFrame, topics: int = TOPICS, most: int = TOPIC_SAMPLE) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Mean profiles by language, and centroids of what profiles differ from these, of about `most` rows chosen by a hash."""
-    n = profiles.count()
-    share = math.ceil(1_000_000 * most / max(1, n))
+def topic_model(profiles: DataFrame, topics: int = TOPICS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Mean profiles by language, and centroids of what profiles differ from these, of all rows."""
     vector = array_to_vector(F.col("__profile").cast("array<double>")).alias("x")
-    sample = profiles.filter(F.pmod(F.xxhash64(F.lit(SEED), "__key"), F.lit(1_000_000)) < share)
-    # about `most` rows in the order of their keys, so that the topics don't depend on how the input is dealt
-    chosen = stored(sample.repartition(1).sortWithinPartitions("__key", "__lang").select("__lang", "__profile", vector))
-    # no more languages than sampled rows
-    means = {row["__lang"]: row["m"].toArray() for row in chosen.groupBy("__lang").agg(Summarizer.mean(F.col("x")).alias("m")).collect()}
+    # one row for each language
+    means = {row["__lang"]: row["m"].toArray().round(9) for row in profiles.select("__lang", vector).groupBy("__lang").agg(Summarizer.mean(F.col("x")).alias("m")).collect()}
     if not means:
         return means, np.zeros((1, BUCKETS))
-    fitted = stored(centred(chosen.select("__lang", "__profile"), means).select(array_to_vector("__centred").alias("x")))
+    # dealt by their keys and in their order, so that the topics don't depend on how the input is dealt
+    parts = -(-profiles.count() // PER_PART)
+    dealt = profiles.select("__key", "__lang", "__profile").repartition(parts, "__key", "__lang").sortWithinPartitions("__key", "__lang", "__profile")
+    fitted = stored(centred(dealt.select("__lang", "__profile"), means).select(array_to_vector("__centred").alias("x")))
     return means, np.array(KMeans(k=topics, seed=SEED, featuresCol="x", maxIter=15, initSteps=2).fit(fitted).clusterCenters())
 
 

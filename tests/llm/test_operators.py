@@ -380,6 +380,16 @@ def test_mixture_meets_targets_beyond_three_times_a_share(session):
         source_mixing.mixture(table, targets=targets, trim=(0.2, 3.0))
 
 
+def test_topics_come_from_all_profiles(session):
+    # the rare language has no row among a few thousand sampled ones
+    short, wide = [0.0] * source_mixing.BUCKETS, [0.0] * source_mixing.BUCKETS
+    short[0], wide[9] = 1.0, 1.0
+    rows = session.range(120_000).selectExpr("cast(id as string) as __key", "if(id = 77, 'rare', 'en') as __lang", "id % 4 = 0 as few")
+    profile = source_mixing.F.when(rows["few"], source_mixing.F.lit(wide)).otherwise(source_mixing.F.lit(short)).cast("array<float>")
+    means, centroids = source_mixing.topic_model(shared.stored(rows.select("__key", "__lang", profile.alias("__profile"))), 2)
+    assert means["rare"].tolist() == short and abs(means["en"][9] - 30_000 / 119_999) < 1e-8 and len(centroids) == 2
+
+
 def test_draws_follow_the_probabilities(session):
     rows = [(k, f"word{k} and more {k % 7}", "en" if k % 3 else "de", "a" if k % 4 else "b", k % 2) for k in range(4000)]
     table = session.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")
