@@ -4,8 +4,8 @@ import json
 
 import pytest
 
-from conftest import RECORDS
 from pyspark.sql import functions as F
+from records import RECORDS
 
 from tableviews.operators import answers, profile, prompts, reshape
 from tableviews.sources import corpus as source
