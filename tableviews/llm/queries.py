@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableviews.llm import decontamination, jaccard_join, line_dedup, rule_quality, secret_scan, source_mixing, substring_chains, token_counts, token_files, topk_search
+from tableviews.llm import decontamination, hard_negatives, jaccard_join, line_dedup, rule_quality, secret_scan, source_mixing, substring_chains, token_counts, token_files, topk_search
 from tableviews.llm.shared import ship_package
 
 # Rows of text in one Arrow batch; long texts make batches of many rows large.
@@ -69,6 +69,11 @@ def op10_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_chains.shared_passages(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives."""
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_quality": op8_rule_quality,
     "op9_source_mixing": op9_source_mixing,
     "op10_substring_chains": op10_substring_chains,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -113,4 +119,25 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+                   CAST(coalesce(list_dot_product(CAST(a.c AS DOUBLE[]), CAST(v.c AS DOUBLE[])), 0) AS BIGINT) AS score
+            FROM v AS a JOIN v ON v.vec_id <> a.vec_id AND len(v.c) = len(a.c)
+            WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, p.positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+               s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+        QUALIFY rank <= 5""",
 }

@@ -123,3 +123,17 @@ def best_vectors(rows, k=5, every=50):
             scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q and len(a) == len(b))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
+
+
+def hard_negatives(rows, every=100, k=5, low=80, high=100):
+    """(anchor, positive, rank, negative, scores) of (id, label, integers) rows with distinct ids."""
+    product = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    found = set()
+    for anchor, label, vector in rows:
+        if anchor % every:
+            continue
+        others = sorted((-product(vector, v), i, own) for i, own, v in rows if i != anchor and len(v) == len(vector))
+        for minus, positive, _ in [x for x in others if x[2] == label][:k]:
+            fit = [(-m, i) for m, i, own in others if own != label and low * -minus <= 100 * -m <= high * -minus]
+            found |= {(anchor, positive, rank, negative, -minus, score) for rank, (score, negative) in enumerate(fit[:k], 1)}
+    return found
