@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableviews.llm import decontamination, hard_negatives, jaccard_join, line_dedup, rule_quality, secret_scan, source_mixing, substring_chains, token_counts, token_files, topk_search
+from tableviews.llm import automaton_ranking, decontamination, hard_negatives, jaccard_join, language_codes, line_dedup, rule_quality, secret_scan, source_mixing, substring_chains, token_counts, token_files, topk_search
 from tableviews.llm.shared import ship_package
 
 # Rows of text in one Arrow batch; long texts make batches of many rows large.
@@ -69,6 +69,16 @@ def op10_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_chains.shared_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_automaton_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return automaton_ranking.rank_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    return language_codes.languages_of(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector's positives."""
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
@@ -85,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_quality": op8_rule_quality,
     "op9_source_mixing": op9_source_mixing,
     "op10_substring_chains": op10_substring_chains,
+    "op11_automaton_ranking": op11_automaton_ranking,
+    "op12_language_codes": op12_language_codes,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -119,6 +131,29 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id""",
+    "op11_automaton_ranking": r"""
+        WITH i AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), t AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id
+        ), g AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n
+        ), m AS (
+            SELECT doc_id, 100 - 90 + (90 * n * docs) // length AS m FROM n, g
+        ), f AS (
+            SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term
+        ), s AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "op13_hard_negatives": """
         WITH v AS (
             SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -137,3 +138,29 @@ def hard_negatives(rows, every=100, k=5, low=80, high=100):
             fit = [(-m, i) for m, i, own in others if own != label and low * -minus <= 100 * -m <= high * -minus]
             found |= {(anchor, positive, rank, negative, -minus, score) for rank, (score, negative) in enumerate(fit[:k], 1)}
     return found
+
+
+def lexical_terms(text):
+    small = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", small)
+
+
+def lexical_ranking(docs, items, k=10):
+    """(item, rank, doc, score) of (id, text) rows."""
+    counted = [(d, collections.Counter(lexical_terms(t))) for d, t in docs]
+    counted = [(d, c) for d, c in counted if c]
+    n, length = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = collections.Counter(term for _, c in counted for term in c)
+    wanted = collections.defaultdict(set)
+    for item, text in items:
+        wanted[item] |= set(lexical_terms(text))
+    found = []
+    for item, terms in wanted.items():
+        scored = []
+        for d, c in counted:
+            m = 10 + 90 * sum(c.values()) * n // length
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t in terms if t in c)
+            if score > 0:
+                scored.append((-score, d is not None, d or 0))
+        found += [(item, rank, d if given else None, -minus) for rank, (minus, given, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(found, key=repr)
