@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tableviews.session import spread
-
-# A file of one list is read by one task; larger corpora come as JSON lines.
-MOST_ARRAY_BYTES = 1 << 28
+from tableviews.sources.pieces import Format, read_records
 
 # Places of one split end here, so the places of several splits never meet.
 SPLIT_PLACES = 1 << 40
 
 
-def read_json_array(spark: SparkSession, path: str, partitions: int | None = None, most_bytes: int = MOST_ARRAY_BYTES) -> DataFrame:
-    """A file that holds one list of records, as (ord, record); ``partitions`` deals the records out.
+_ESCAPED = re.compile(r"\\.", re.DOTALL)
+
+
+def _json_piece(value: str) -> tuple[tuple[int, int], tuple[int, int]]:
+    """What a piece of JSON, with the brace behind it, does to an open string and to the depth of brackets."""
+    plain = value + "}"
+    if "\\" in plain:
+        plain = _ESCAPED.sub("", plain)
+    parts = plain.split('"')
+    depth = [sum(t.count("{") + t.count("[") - t.count("}") - t.count("]") for t in parts[s::2]) for s in (0, 1)]
+    odd = 1 - len(parts) % 2
+    return (odd, depth[0]), (1 - odd, depth[1])
+
+
+# a record ends at a brace that leaves only the list open; the brace reckoned behind the closing bracket closes nothing
+JSON_LIST = Format("}", _json_piece, depth=1, keep_separator=True, last_depth=-1)
 
-    One task reads the file.  A file that is no list of records, or is larger than
-    ``most_bytes``, ends the job with an error.
+
+def read_json_array(spark: SparkSession, path: str, partitions: int | None = None, block_bytes: int | None = None) -> DataFrame:
+    """Files that hold one list of records each, as (ord, record); ``partitions`` deals the records out.
+
+    A file is read by as many tasks as it has blocks of ``block_bytes`` (Spark's own size by default), see
+    `tableviews.sources.pieces`; its records are stored once.  ord goes on from file to file.  A file that is no list of
+    JSON objects is an error; Spark passes over files without a byte.
     """
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_path").alias("file"))
-    fits = F.when(F.col("size") > most_bytes, F.raise_error(F.concat("file", F.lit(" is too large for one task; write it as JSON lines")))).otherwise(F.col("value"))
-    # a failed parse is no list of any length
-    parsed = text.select("file", F.from_json(fits, "array<variant>").alias("records"))
-    whole = F.when(F.col("records").isNull(), F.raise_error(F.concat("file", F.lit(" holds no JSON list"))).cast("array<variant>")).otherwise(F.col("records"))
-    listed = parsed.select(F.posexplode(whole).alias("ord", "record")).select(F.col("ord").cast("bigint").alias("ord"), "record")
-    return spread(listed, partitions) if partitions else listed
+    no_list = lambda file: f"{file} holds no JSON list"
+    found = read_records(spark, path, JSON_LIST, no_list, block_bytes)
+    ends = F.when(F.col("nr") == 0, F.col("text").rlike(r"\A\s*\[\s*\]\s*\z")).otherwise(F.col("text").rlike(r"\A\s*\]\s*\z"))
+    # one row for each file
+    bad = found.filter("rest").filter(~ends).select("file").first()
+    if bad:
+        raise ValueError(no_list(bad["file"]))
+    begins = F.when(F.col("nr") == 0, F.col("text").rlike(r"\A\s*\[\s*\{")).otherwise(F.col("text").rlike(r"\A\s*,\s*\{"))
+    parsed = F.when(begins, F.from_json(F.expr("substring(text, instr(text, '{'))"), "variant"))
+    message = F.concat("file", F.lit(" holds no JSON list of objects: record "), F.col("nr").cast("string"))
+    # conditions on the record may be put before the filter, so what stands behind the last record is no error there
+    listed = found.filter("NOT rest").select("ord", "nr", "file", "rest", parsed.alias("record"))
+    lost = F.col("record").isNull() & ~F.col("rest")
+    whole = listed.select("ord", F.when(lost, F.raise_error(message).cast("variant")).otherwise(F.col("record")).alias("record"))
+    return spread(whole, partitions) if partitions else whole
 
 
 def read_json_lines(spark: SparkSession, path: str, rejected: str = "fail") -> DataFrame:
@@ -95,6 +121,16 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order_by: str, mode: str = "errorifexists") -> None:
+    """One list in one file, a record a line, for readers that want it so; one task writes it, a row at a time."""
+    first = df.agg(F.min(order_by)).first()[0]
+    lines = df.select(F.lit(1).alias("part"), order_by, F.concat(F.when(F.col(order_by) != first, ",").otherwise(""), F.to_json(F.struct(*df.drop(order_by).columns))).alias("value"))
+    kind = dict(df.dtypes)[order_by]
+    for part, bracket in ((0, "["), (2, "]")):
+        lines = lines.unionByName(df.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit(None).cast(kind).alias(order_by), F.lit(bracket).alias("value")))
+    lines.coalesce(1).sortWithinPartitions("part", order_by).select("value").write.mode(mode).text(path)
+
+
 def write_normalized(tables: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
     """The normalized tables as Parquet below one path."""
     for name, df in tables.items():

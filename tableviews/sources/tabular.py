@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +11,7 @@ from tableviews.functions.replies import parse_list_field
 from tableviews.functions.text import percent_text
 from tableviews.operators.ordering import number_rows
 from tableviews.operators.reshape import nested_content
+from tableviews.sources.pieces import Format, read_records
 
 META_DDL = (
     "db_id string, table_names_original array<string>, column_names_original array<array<string>>, "
@@ -17,13 +19,36 @@ META_DDL = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """CSV with a header; cells may hold line breaks and doubled quotes.
+# a line that ends inside a quoted cell: whole cells, then one that is not closed; a doubled quote closes nothing
+_OPEN_LINE = re.compile(r'(?>(?>"(?>[^"]++|"")*+"[^,]*+|[^",][^,]*+)?,)*+"(?>[^"]++|"")*+')
 
-    With line breaks in cells a file is one task, so large tables come as many files, or, if
-    no cell holds a line break, with ``multi_line`` off, which splits files.
+
+def _csv_line(line: str) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Whether a line leaves a quoted cell open, for both ways it may begin."""
+    if '"' not in line:
+        return (0, 0), (1, 0)
+    return (int(bool(_OPEN_LINE.fullmatch(line))), 0), (int(bool(_OPEN_LINE.fullmatch('"' + line))), 0)
+
+
+CSV = Format("\n", _csv_line, depth=0, keep_separator=False, last_depth=0)
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, block_bytes: int | None = None) -> DataFrame:
+    """CSV with a header in every file; cells may hold line breaks and doubled quotes.
+
+    A file is read by as many tasks as it has blocks of ``block_bytes`` (Spark's own size by default), see
+    `tableviews.sources.pieces`; its rows are stored once.  A line break inside a cell stays as it is written.  A file that
+    ends inside a quoted cell is an error.  With ``multi_line`` off, cells hold no line breaks and nothing is stored.
     """
-    return spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
+    options = {"quote": '"', "escape": '"'}
+    plain = spark.read.options(header=True, multiLine=multi_line, **options).csv(path)
+    if not multi_line or not plain.columns:
+        return plain
+    found = read_records(spark, path, CSV, lambda file: f"{file} ends inside a quoted cell", block_bytes)
+    line = F.when(F.col("text").endswith("\r"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
+    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in plain.columns)
+    rows = found.filter("NOT rest AND nr > 0").select(line.alias("line")).filter("line != ''")
+    return rows.select(F.from_csv("line", schema, options).alias("row")).select("row.*")
 
 
 def write_csv(df: DataFrame, path: str, order_by: Sequence[str | Column], mode: str = "errorifexists") -> None:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableviews.functions.text import fill_prompt, percent_text
 from tableviews.operators import reshape, selection
-from tableviews.session import checkpoint_folder
+from tableviews.session import checkpoint_folder, stored
 from tableviews.sources import corpus, tabular
 from workloads.derive import CUSTOMER_SAMPLES, ORDER_COLUMNS, ORDER_ROWS, customer_samples, names, table, with_ctes
 from workloads.registry import query
 
 SPLITS = ("even", "odd")
+# Blocks of one large file; small, so that the files written here have several.
+LIST_BLOCK = 1 << 20
 
 
 def _folder(spark: SparkSession) -> str:
@@ -97,6 +99,22 @@ def corpus_array(spark, sf_dir):
     return reshape.samples_of(corpus.read_json_array(spark, folder)).select("sample_id", "question", "db")
 
 
+@query(
+    "corpus_list",
+    with_ctes(CUSTOMER_SAMPLES, ORDER_ROWS) + """SELECT s.sample_id, s.question, s.ord - min(s.ord) OVER () AS place, o.row_pos, array_to_string(o.cells, '|') AS cells
+ FROM customer_samples s LEFT JOIN order_rows o ON o.sample_id = s.sample_id""",
+)
+def corpus_list(spark, sf_dir):
+    """All customers and their orders in one file of one list, read by its blocks: records, their places and their rows."""
+    folder = _folder(spark)
+    records = _records(spark, sf_dir).select(F.col("r.id_").cast("bigint").alias("place"), "r.id_", "r.db", "r.Question", "r.SQL", "r.raw_tables")
+    corpus.write_json_array(records, folder, "place")
+    read = stored(corpus.read_json_array(spark, folder, block_bytes=LIST_BLOCK))
+    samples, rows = reshape.samples_of(read), reshape.rows_of(reshape.tables_of(read, "raw_tables"))
+    cells = rows.select("sample_id", "row_pos", F.array_join("cells", "|").alias("cells"))
+    return samples.select("sample_id", "question", F.col("ord").alias("place")).join(cells, "sample_id", "left")
+
+
 @query(
     "rejected_lines",
     """SELECT event_id % 5 = 0 AS is_rejected, count(*) AS n, count(*) FILTER (event_id % 5 = 1) AS n_nan FROM events GROUP BY ALL""",
@@ -126,6 +144,20 @@ def csv_tables(spark, sf_dir):
     return tabular.read_csv(spark, folder).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "told", "listed")
 
 
+@query(
+    "csv_one_file",
+    """SELECT o_orderkey, '"' || o_orderstatus || '",' || chr(10) || chr(10) || o_orderpriority AS told, o_clerk FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority, 'x"' || o_custkey AS o_clerk FROM orders)""",
+)
+def csv_one_file(spark, sf_dir):
+    """One CSV file whose cells hold quotes, commas, line breaks and empty lines, read by its blocks."""
+    folder = _folder(spark)
+    told = F.concat(F.lit('"'), "o_orderstatus", F.lit('",\n\n'), "o_orderpriority")
+    clerk = F.concat(F.lit('x"'), F.col("o_custkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", told.alias("told"), clerk.alias("o_clerk"))
+    rows.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    return tabular.read_csv(spark, folder, block_bytes=LIST_BLOCK).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "told", "o_clerk")
+
+
 @query(
     "profile_csv",
     with_ctes("""used AS (
