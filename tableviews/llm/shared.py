@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableviews.session import checkpoint_folder, stored
+from tableviews.session import checkpoint_folder, filesystem, new_folder, ship_package, stored
 
 # Stands for a null id where ids are ordered: before all others, as in Spark.
 NULL_ID = -(2**63)
@@ -24,7 +23,7 @@ CACHED_PIECES = 500_000
 
 WORD = re.compile(r"\w+")
 
-__all__ = ["NULL_ID", "PieceTable", "WordHashes", "batches_by_key", "checkpoint_folder", "column", "filesystem", "new_folder", "numbered", "stored", "text_tag", "texts_of"]
+__all__ = ["NULL_ID", "PieceTable", "WordHashes", "batches_by_key", "checkpoint_folder", "column", "filesystem", "new_folder", "numbered", "ship_package", "stored", "text_tag", "texts_of"]
 
 
 class PieceTable(dict):
@@ -123,44 +122,6 @@ def batches_by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
         yield pa.Table.from_batches(open_part)
 
 
-def filesystem(place: str):
-    """The file system and the path inside it that a folder's address means."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(place)
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """The address of a new folder below the shared one, for files that tasks write and read."""
-    place = f"{checkpoint_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    system, path = filesystem(place)
-    system.create_dir(path)
-    return place
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the tasks of this session the package, once, for clusters where it is not installed."""
-    import io
-    import zipfile
-    from pathlib import Path
-
-    import tableviews
-
-    context = spark.sparkContext
-    if getattr(context, "tableviews_shipped", False):
-        return
-    root, buffer = Path(tableviews.__path__[0]), io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, f"tableviews/{file.relative_to(root)}")
-    place = new_folder(spark, "package")
-    system, path = filesystem(place)
-    with system.open_output_stream(f"{path}/tableviews.zip", compression=None) as out:
-        out.write(buffer.getvalue())
-    context.addPyFile(f"{place}/tableviews.zip")
-    context.tableviews_shipped = True
-
-
 def order_of(id_col: str = "doc_id"):
     """An id that is never null, in the order of ids."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
