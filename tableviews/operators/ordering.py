@@ -56,43 +56,38 @@ def number_rows(
     return ranked.withColumns({"row_pos": F.col("__n_run") - 1, "n_rows": F.col("__n_all")}).drop("__n_run", "__n_all")
 
 
-def hash_splits(h: Column, n_rows: Column, rows_per_split: int = ROWS_PER_SLICE) -> Column:
-    """Order-keeping split of a 32-bit hash: one split for a short table, many for a long one."""
-    n_splits = F.lit(1) + F.floor(n_rows / F.lit(rows_per_split))
-    return F.floor(h * n_splits / F.lit(float(1 << 32))).cast("bigint")
+def hash_digit(h: Column) -> Column:
+    """The leading 16 bits of a 32-bit hash."""
+    return F.shiftright(h, 16).cast("int")
 
 
-def fraction_bounds(
-    df: DataFrame, keys: Sequence[str], ratio: float, h: Column, tie: str, n_rows: Column
-) -> DataFrame:
+def fraction_bounds(df: DataFrame, keys: Sequence[str], ratio: float, h: Column, tie: str) -> DataFrame:
     """Per key the last row of its first ``floor(n * ratio)`` rows in hash order, as (keys, last_h, last_tie).
 
-    Rows up to this one are the exact fraction, so the rows themselves need no rank
-    and can be marked where they are.  Keys of which the fraction is no row, or all
-    rows, have no bound.  ``n_rows`` is an upper bound of the key's rows that every
-    row carries; only long tables are cut into several splits, and of those only the
-    split that holds the bound is sorted.
+    Rows up to this one are the exact fraction, so the rows themselves need no rank and can be marked where they are.
+    Keys of which the fraction is no row, or all rows, have no bound.
+
+    The bound is selected by counts: rows are counted by the leading 16 bits of their hash, which is done inside the
+    tasks first, and the counts of a key, 65,536 at most, tell in which bucket the bound lies and how many rows of the
+    bucket come before it.  A bucket of one row is settled then; of the others only the rows of the one bucket, the
+    65,536th part of a key's rows, are looked at once more and gathered.  No rows are ranked.
     """
-    narrow = df.select(*keys, F.col(tie).alias("__tie"), h.alias("__h"), n_rows.alias("__max"))
-    narrow = narrow.withColumn("__split", hash_splits(F.col("__h"), F.col("__max"))).drop("__max")
-    whole = Window.partitionBy(*keys)
-    counts = narrow.groupBy(*keys, "__split").agg(F.count("*").alias("__n"))
+    narrow = df.select(*keys, F.col(tie).alias("__tie"), h.alias("__h")).withColumn("__digit", hash_digit(F.col("__h")))
+    counts = narrow.groupBy(*keys, "__digit").agg(F.count("*").alias("__n"), F.min("__h").alias("__first_h"), F.min("__tie").alias("__first_tie"))
+    by_digit = Window.partitionBy(*keys).orderBy("__digit")
     placed = counts.withColumns(
         {
-            "__before": F.coalesce(F.sum("__n").over(whole.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "__all": F.sum("__n").over(whole),
+            "__upto": F.sum("__n").over(by_digit.rowsBetween(Window.unboundedPreceding, 0)),
+            "__all": F.sum("__n").over(by_digit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         }
     ).withColumn("__goal", F.floor(F.col("__all") * F.lit(ratio)))
-    holding = placed.filter(
-        (F.col("__goal") >= 1)
-        & (F.col("__goal") < F.col("__all"))
-        & (F.col("__before") < F.col("__goal"))
-        & (F.col("__goal") <= F.col("__before") + F.col("__n"))
-    ).select(*keys, "__split", (F.col("__goal") - F.col("__before")).alias("__nth"))
-    inside = Window.partitionBy(*keys, "__split").orderBy("__h", "__tie")
-    ranked = narrow.join(holding, [*keys, "__split"]).withColumn("__rank", F.row_number().over(inside))
-    last = ranked.filter(F.col("__rank") == F.col("__nth"))
-    return last.select(*keys, F.col("__h").alias("last_h"), F.col("__tie").alias("last_tie"))
+    nth = (F.col("__goal") - F.col("__upto") + F.col("__n")).cast("int")
+    holding = placed.filter("1 <= __goal AND __goal < __all AND __upto - __n < __goal AND __goal <= __upto").withColumn("__nth", nth)
+    single = holding.filter("__n = 1").select(*keys, F.col("__first_h").alias("last_h"), F.col("__first_tie").alias("last_tie"))
+    bucket = narrow.join(holding.filter("__n > 1").select(*keys, "__digit", "__nth"), [*keys, "__digit"])
+    gathered = bucket.groupBy(*keys, "__nth").agg(F.array_sort(F.collect_list(F.struct("__h", "__tie"))).alias("__rows"))
+    several = gathered.select(*keys, F.element_at("__rows", F.col("__nth")).alias("r")).select(*keys, F.col("r.__h").alias("last_h"), F.col("r.__tie").alias("last_tie"))
+    return single.unionByName(several)
 
 
 def within_bound(h: Column, tie: Column) -> Column:

@@ -89,13 +89,13 @@ def described_headers(chosen: DataFrame) -> DataFrame:
 def split_rows(rows: DataFrame, chosen: DataFrame, ratio: float = ROW_RATIO, seed: int = SEED, folder: str | None = None) -> DataFrame:
     """Complete rows with ``taken``: exactly the given share per table becomes text.
 
-    Taken rows get a ``description``; the other rows keep all their cells.  Rows meet their
-    set once and are stored; the share is settled on their ids, and its bound is joined to them.
+    Taken rows get a ``description``; the other rows keep all their cells.  Rows meet their set once and are stored with
+    their hash; the share is settled on ids and hashes, and its bound is joined to them.
     """
     h = stable_hash(seed, "sample_id", "table_pos", "row_pos")
-    complete = stored(complete_rows(rows, chosen), folder)
-    bounds = fraction_bounds(complete.select(*TABLE_KEY, "row_pos", "n_rows"), TABLE_KEY, ratio, h, "row_pos", F.col("n_rows"))
-    marked = complete.join(bounds, TABLE_KEY, "left").withColumn("__h", h).withColumn("taken", within_bound(F.col("__h"), F.col("row_pos")))
+    complete = stored(complete_rows(rows, chosen).withColumn("__h", h), folder)
+    bounds = fraction_bounds(complete, TABLE_KEY, ratio, F.col("__h"), "row_pos")
+    marked = complete.join(bounds, TABLE_KEY, "left").withColumn("taken", within_bound(F.col("__h"), F.col("row_pos")))
     return marked.withColumn("description", F.when(F.col("taken"), sentence(seed, missing="mark"))).drop(
         "set_columns", "templates", "set_positions", "last_h", "last_tie", "__h"
     )

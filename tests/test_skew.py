@@ -47,15 +47,15 @@ def test_number_rows_is_dense(skewed):
 def _taken(df, ratio):
     """Rows with ``taken``; df is (k, v, n)."""
     h = stable_hash(1, "k", "v")
-    bounds = ordering.fraction_bounds(df, ["k"], ratio, h, "v", F.col("n"))
+    bounds = ordering.fraction_bounds(df, ["k"], ratio, h, "v")
     return df.join(bounds, "k", "left").withColumn("taken", ordering.within_bound(h, F.col("v")))
 
 
-@pytest.mark.parametrize("ratio", [0.3, 0.5])
-def test_fraction_is_exact(skewed, ratio, monkeypatch):
+@pytest.mark.parametrize("ratio, bits", [(0.3, 16), (0.5, 16), (0.3, 4), (0.5, 4), (0.5, 0)])
+def test_fraction_is_exact(skewed, ratio, bits, monkeypatch):
     data, df = skewed
-    # splits of 50 rows, so that the frequent key is ranked over many of them
-    monkeypatch.setattr(ordering, "hash_splits", lambda h, n, real=ordering.hash_splits: real(h, n, 50))
+    # few leading bits, so that the buckets of the bounds hold many rows
+    monkeypatch.setattr(ordering, "hash_digit", lambda h: F.shiftright(h, 32 - bits).cast("int"))
     counts = df.groupBy("k").agg(F.count("*").alias("n"))
     out = _taken(df.join(counts, "k"), ratio)
     again = _taken(df.repartition(7).join(counts, "k"), ratio)
@@ -120,3 +120,17 @@ def test_sample_per_type_does_not_depend_on_partitions(spark):
     a = {r.sample_id for r in selection.sample_per_type(df, 120).collect()}
     b = {r.sample_id for r in selection.sample_per_type(df.repartition(11), 120).collect()}
     assert a == b and len(a) == 120
+
+
+def test_fractions_of_equal_hashes_go_by_the_tie(spark):
+    df = spark.createDataFrame([(k, v) for k in range(5) for v in range(2 * k + 1)], "k long, v long")
+    bounds = ordering.fraction_bounds(df, ["k"], 0.5, F.lit(7).cast("bigint"), "v")
+    assert {r.k: (r.last_h, r.last_tie) for r in bounds.collect()} == {k: (7, k - 1) for k in range(1, 5)}
+
+
+def test_no_rows_are_ranked_for_a_fraction(skewed):
+    _, df = skewed
+    plan = ordering.fraction_bounds(df, ["k"], 0.5, stable_hash(1, "k", "v"), "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "rank(" not in plan
+    # what windows see are counts by bucket
+    assert all("__n" in line for line in plan.splitlines() if "Window" in line)
