@@ -154,7 +154,8 @@ def answer_aggregates(queries: DataFrame, tables: DataFrame, rows: DataFrame, ig
     extremes are combined inside the tasks; a limit is cut per salt of the group
     value first, so a table with very many groups is not ranked in one task.
     """
-    specs = aggregate_specs(queries, tables)
+    # a row for each text, read by the rows and again for texts that no row answers
+    specs = stored(aggregate_specs(queries, tables))
     fields = ["func", "shows", "order_by", "descending", "row_limit", "target_at", "group_at", "preds"]
     met = with_tables(rows, specs, *fields).filter(
         F.forall("preds", lambda p: predicate_holds(F.get("cells", p["at"]), p, ignore_case))
@@ -310,6 +311,18 @@ def run_workload(spark: SparkSession, queries: Sequence[tuple[str, str]], folder
     return out
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows with ``row_pos`` from the ids that the tasks of one write gave.
+
+    An id holds its task's number above 33 bits that count the task's rows, and tasks follow the order of the result; so
+    a row's place is its count and the rows of the tasks before, and only one row for each task is put in order.
+    """
+    task = F.shiftright("place", 33)
+    sizes = rows.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("task", task).join(sizes.select("task", before.alias("before")), "task").withColumn("row_pos", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1))
+
+
 def _run_text(spark: SparkSession, query_id: str, text: str, folder: str | None) -> DataFrame:
     failed = lambda error: spark.createDataFrame([(query_id, None, [], None, error)], WORKLOAD_DDL)
     guarded = spark.range(1).select(guard_sql(F.lit(text)).alias("g")).select("g.*").first()
@@ -325,11 +338,10 @@ def _run_text(spark: SparkSession, query_id: str, text: str, folder: str | None)
         rows = stored(rows, folder)
     except (PySparkException, Py4JJavaError) as exc:
         return failed((exc.getCondition() if isinstance(exc, PySparkException) else None) or type(exc).__name__)
-    # the ids that the write gave follow the result's order; only their order is used
-    at = F.when(F.col("place").isNotNull(), F.dense_rank().over(Window.partitionBy(F.col("place").isNull()).orderBy("place")) - 1) if ordered else F.lit(None)
-    return rows.select(
+    placed = _in_order(rows) if ordered else rows.withColumn("row_pos", F.lit(None).cast("bigint"))
+    return placed.select(
         F.lit(query_id).alias("query_id"),
-        at.cast("bigint").alias("row_pos"),
+        "row_pos",
         F.array(*[F.lit(c) for c in names]).cast("array<string>").alias("columns"),
         "row_json",
         F.lit(None).cast("string").alias("error"),

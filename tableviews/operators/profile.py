@@ -26,19 +26,86 @@ def column_mentions(tables: DataFrame, word: bool = False) -> DataFrame:
     return exploded.withColumn("mentioned", column_mentioned(F.col("sql"), F.col("column"), word)).drop("sql")
 
 
+# A column that is one word of ASCII letters, digits and underscores is met as a word; others are looked for by pattern.
+ONE_WORD = r"\A[A-Za-z0-9_]+\z"
+
+
 def column_stats(tables: DataFrame, word: bool = False, by_name: bool = False) -> DataFrame:
     """Per table and column: occurrences, uses, and where the column was first seen.
 
     Sums and minima are combined inside the tasks before the shuffle, so a table
     that most samples share costs no more than any other.
     """
+    if word:
+        return _column_stats_by_words(tables, by_name)
     return column_mentions(tables, word).groupBy(*_table_key(by_name), "column").agg(
         F.count("*").alias("total"),
         F.count_if("mentioned").alias("matched"),
         F.max_by("db", "ord").alias("last_db"),
         F.max("ord").alias("last_ord"),
         F.min_by(F.struct(*TABLE_KEY, "col_pos"), F.struct("ord", "table_pos")).alias("first_seen"),
+        F.min(F.struct("ord", "table_pos")).alias("first_at"),
+    )
+
+
+def _column_stats_by_words(tables: DataFrame, by_name: bool) -> DataFrame:
+    """`column_stats` for whole words: the words of the SQL texts meet the column names by an equi-join.
+
+    Headers that are equal are counted once, so columns are listed for each different header and words for each text,
+    and no text is searched for every column.  Names of several words, or with other characters, are searched.
+    """
+    keys = list(dict.fromkeys([*_table_key(by_name), "db", "table_name"]))
+    headed = tables.withColumn("header", F.md5(F.to_json(F.struct("columns")))).select(*TABLE_KEY, "ord", "db", "table_name", "header", "sql", "columns")
+    headers = headed.groupBy("db", "table_name", "header").agg(
+        F.any_value("columns").alias("columns"),
+        F.count("*").alias("total"),
+        F.max("ord").alias("last_ord"),
+        F.min(F.struct("ord", "table_pos", "sample_id")).alias("first"),
     )
+    listed = headers.select("db", "table_name", "header", "total", "last_ord", "first", F.posexplode("columns").alias("col_pos", "column"))
+    counted = listed.groupBy(*_table_key(by_name), "column").agg(
+        F.sum("total").alias("total"),
+        F.max_by("db", "last_ord").alias("last_db"),
+        F.max("last_ord").alias("last_ord"),
+        F.min_by(F.struct(F.col("first.sample_id").alias("sample_id"), F.col("first.table_pos").alias("table_pos"), "col_pos"), F.struct("first.ord", "first.table_pos")).alias("first_seen"),
+        F.min(F.struct("first.ord", "first.table_pos")).alias("first_at"),
+    )
+    # one row for each different word of a text
+    words = headed.select("db", "table_name", "header", F.explode(F.array_distinct(F.split(F.lower("sql"), "[^a-z0-9_]+"))).alias("word"))
+    said = words.filter("word != ''").groupBy("db", "table_name", "header", "word").agg(F.count("*").alias("n"))
+    place = listed.select("db", "table_name", "header", "column")
+    simple = F.col("column").rlike(ONE_WORD)
+    by_word = place.filter(simple).withColumn("word", F.lower("column")).join(said, ["db", "table_name", "header", "word"])
+    odd = place.filter(~simple).distinct().join(headed.select("db", "table_name", "header", "sql"), ["db", "table_name", "header"])
+    by_pattern = odd.filter(column_mentioned(F.col("sql"), F.col("column"), True))
+    # a name that a header repeats counts for each of its places, as in the list of columns
+    repeats = place.filter(~simple).groupBy("db", "table_name", "header", "column").agg(F.count("*").alias("n"))
+    matched = by_word.select(*keys, "column", "n").unionByName(
+        by_pattern.join(repeats, ["db", "table_name", "header", "column"]).select(*keys, "column", "n")
+    )
+    used = matched.groupBy(*_table_key(by_name), "column").agg(F.sum("n").alias("matched"))
+    return counted.join(used, [*_table_key(by_name), "column"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+
+
+def merge_stats(parts: DataFrame, by_name: bool = False) -> DataFrame:
+    """`column_stats` of several batches of samples, put one below the other, as those of all samples.
+
+    Counts are added, extremes compared; so a new batch costs its own rows, and merging is the same in any order.  The
+    batches have to share one numbering ``ord`` of their samples, as the splits of a corpus do.
+    """
+    return parts.groupBy(*_table_key(by_name), "column").agg(
+        F.sum("total").alias("total"),
+        F.sum("matched").alias("matched"),
+        F.max_by("last_db", "last_ord").alias("last_db"),
+        F.max("last_ord").alias("last_ord"),
+        F.min_by("first_seen", "first_at").alias("first_seen"),
+        F.min("first_at").alias("first_at"),
+    )
+
+
+def merge_counts(parts: DataFrame, *keys: str) -> DataFrame:
+    """Counts of several batches, as (keys, count)."""
+    return parts.groupBy(*keys).agg(F.sum("count").alias("count"))
 
 
 def column_usage(tables: DataFrame, word: bool = False, by_name: bool = False) -> DataFrame:
@@ -47,9 +114,14 @@ def column_usage(tables: DataFrame, word: bool = False, by_name: bool = False) -
     Tables are told apart by database and name; ``by_name`` merges equal names of
     different databases and reports the database seen last.
     """
+    return usage_of(column_stats(tables, word, by_name), by_name)
+
+
+def usage_of(stats: DataFrame, by_name: bool = False) -> DataFrame:
+    """`column_usage` from `column_stats`."""
     keys = _table_key(by_name)
     used, unused = F.col("matched") > 0, F.col("matched") == 0
-    grouped = column_stats(tables, word, by_name).groupBy(*keys).agg(
+    grouped = stats.groupBy(*keys).agg(
         F.max_by("last_db", "last_ord").alias("last_db"),
         F.array_sort(F.collect_list(F.when(used, F.col("column")))).alias("matched_columns"),
         F.array_sort(F.collect_list(F.when(unused, F.col("column")))).alias("unmatched_columns"),
@@ -72,9 +144,14 @@ def with_column_less_tables(profile: DataFrame, tables: DataFrame) -> DataFrame:
 
 def high_freq_columns(tables: DataFrame, word: bool = False, by_name: bool = False, share: float = HIGH_SHARE) -> DataFrame:
     """Per table: columns that at least ``share`` of the samples with that column use."""
+    return high_freq_of(column_stats(tables, word, by_name), by_name, share)
+
+
+def high_freq_of(stats: DataFrame, by_name: bool = False, share: float = HIGH_SHARE) -> DataFrame:
+    """`high_freq_columns` from `column_stats`."""
     keys = _table_key(by_name)
     high = F.col("matched") / F.col("total") >= share
-    grouped = column_stats(tables, word, by_name).groupBy(*keys).agg(
+    grouped = stats.groupBy(*keys).agg(
         F.max_by("last_db", "last_ord").alias("last_db"),
         F.array_sort(F.collect_list(F.when(high, F.col("column")))).alias("high_freq_columns"),
         F.array_sort(F.collect_list(F.when(~high, F.col("column")))).alias("low_freq_columns"),

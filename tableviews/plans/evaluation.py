@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, functions as F
 
 from tableviews.functions import replies
 from tableviews.functions.binding import with_computed
 from tableviews.functions.cells import has_value, is_falsy
-from tableviews.operators import exchange, prompts, scoring
+from tableviews.operators import exchange, ledger, prompts, scoring
+from tableviews.session import stored
 
 
 def qa_requests(views: DataFrame) -> DataFrame:
@@ -40,6 +44,43 @@ def qa_results(views: DataFrame, samples: DataFrame, answered: DataFrame) -> Dat
     return scoring.score(joined).drop("prediction_norm", "truth_norm")
 
 
+class PairedRun(NamedTuple):
+    """Scored results on the chosen view and on the raw tables, and what was sent for both."""
+
+    results: DataFrame
+    raw_results: DataFrame
+    sent: ledger.Sent
+
+
+def paired_run(
+    samples: DataFrame,
+    tables: DataFrame,
+    rows: DataFrame,
+    segments: DataFrame,
+    raw_tables: DataFrame,
+    raw_rows: DataFrame,
+    fn: Callable[[list[str]], list[str | None]],
+    folder: str,
+    view: str = "semi-structured",
+    raw_view: str = "structured",
+    budget: int | None = None,
+) -> PairedRun:
+    """Ask every sample on one view of its tables and on its raw tables, with one ledger for both.
+
+    Prompts that are equal, in both runs or in an earlier one, are sent once; a run that stopped goes on with what has no
+    reply yet.  `scoring.run_delta` compares the two results.
+    """
+    no_text = segments.limit(0)
+    asked = [
+        stored(prompts.qa_views(samples, tables, rows, segments, [view], budget)),
+        stored(prompts.qa_views(samples, raw_tables, raw_rows, no_text, [raw_view], budget)),
+    ]
+    requests = [qa_requests(views) for views in asked]
+    sent = ledger.send(requests[0].unionByName(requests[1]), folder, fn)
+    results = [qa_results(views, samples, ledger.answered(own, folder)) for views, own in zip(asked, requests, strict=True)]
+    return PairedRun(results[0], results[1], sent)
+
+
 def sql_requests(samples: DataFrame, previews: DataFrame, today: str, dialect: str = "Spark SQL") -> DataFrame:
     """Text-to-SQL requests with their messages."""
     asked = samples.join(previews, "sample_id", "left").withColumn(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tableviews.operators import profile, reshape
+from tableviews.plans import profile_state
+from tableviews.session import checkpoint_folder
 from workloads.derive import (
     CUSTOMER_SAMPLES, LINE_COLUMNS, LINE_ROWS, ORDER_COLUMNS, ORDER_HEADERS, ORDER_ROWS, ORDER_SAMPLES, customer_rows, customer_tables,
     joined, names, order_headers, order_rows, order_samples, order_tables, sql_list, table, with_ctes,
@@ -34,6 +38,30 @@ def column_usage(spark, sf_dir):
     )
 
 
+@query(
+    "merged_profile",
+    with_ctes(ORDER_SAMPLES, ORDER_HEADERS, _MENTIONS, """per_column AS (
+ SELECT db, table_name, column_name, count(*) AS total, count(*) FILTER (hit) AS matched FROM mentions GROUP BY ALL), seen AS (
+ SELECT db, table_name, count(*) AS n_samples FROM order_headers GROUP BY ALL)""") + """
+SELECT db, table_name, n_samples,
+ coalesce(string_agg(column_name, ', ' ORDER BY column_name) FILTER (matched > 0), '') AS matched_columns,
+ coalesce(string_agg(column_name, ', ' ORDER BY column_name) FILTER (matched / total >= 0.5), '') AS high_freq_columns
+FROM per_column JOIN seen USING (db, table_name) GROUP BY db, table_name, n_samples""",
+)
+def merged_profile(spark, sf_dir):
+    """Usage and frequent columns of all orders from the stored states of three batches."""
+    folder = f"{checkpoint_folder(spark)}/profile-{uuid.uuid4().hex}"
+    headers = order_headers(spark, sf_dir).withColumns({"n_rows": F.lit(0).cast("bigint"), "n_cols": F.size("columns")})
+    for batch in range(3):
+        own = headers.filter(F.col("ord") % 3 == batch)
+        profile_state.add_batch(profile_state.state_of(own, own.select(F.col("table_name").alias("kind"))), folder, str(batch))
+    state = profile_state.merged(spark, folder)
+    used = profile.usage_of(state.columns).select("db", "table_name", joined("matched_columns").alias("matched_columns"))
+    high = profile.high_freq_of(state.columns).select("db", "table_name", joined("high_freq_columns").alias("high_freq_columns"))
+    seen = state.tables.select("db", "table_name", F.col("count").alias("n_samples"))
+    return used.join(high, ["db", "table_name"]).join(seen, ["db", "table_name"])
+
+
 @query(
     "column_usage_by_name",
     with_ctes(ORDER_SAMPLES, ORDER_HEADERS, _MENTIONS, """per_column AS (

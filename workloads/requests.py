@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tableviews.functions import markdown, replies, text, wording
-from tableviews.operators import exchange, profile, prompts, reshape, templates
+from tableviews.operators import exchange, ledger, profile, prompts, reshape, templates
 from tableviews.plans import evaluation
+from tableviews.session import checkpoint_folder
 from workloads.derive import (
     CUSTOMER_SAMPLES, ORDER_COLUMNS, ORDER_ROWS, customer_rows, customer_samples, customer_tables, joined, names, spread_table, table, with_ctes,
 )
@@ -377,3 +380,45 @@ def catalog_subsets(spark, sf_dir):
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("db")).agg(F.count("*").alias("n_rows"))
     made = subsets.catalog_subsets(questions, counts.withColumn("table_name", F.lit("orders")), short_max=10, long_min=11)
     return made.groupBy("subset").agg(F.count("*").alias("n"))
+
+
+_JUDGED = f"SELECT doc_id, {filled(_W.JUDGE, truth='lang', prediction='source')} AS prompt FROM documents"
+
+
+@query(
+    "request_ledger",
+    f"""WITH judged AS ({_JUDGED}), first AS (SELECT DISTINCT prompt FROM judged WHERE doc_id % 2 = 0 AND doc_id % 7 < 3)
+SELECT doc_id, length(prompt) || ' characters' AS text, CASE WHEN first.prompt IS NULL THEN 'two' ELSE 'one' END AS wave,
+ CASE WHEN first.prompt IS NULL THEN (SELECT count(DISTINCT prompt) FROM judged) - (SELECT count(*) FROM first) ELSE (SELECT count(*) FROM first) END AS n_sent
+FROM judged LEFT JOIN first USING (prompt)""",
+)
+def request_ledger(spark, sf_dir):
+    """Judge requests of all documents in two waves over one ledger: equal prompts are sent once, and the second wave sends the rest."""
+    docs = table(spark, sf_dir, "documents")
+    requests = exchange.make_requests(docs, "judge", ["doc_id"], prompts.judge_prompt(F.col("source"), F.col("lang")))
+    folder = f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    measure = lambda given: [f"{len(p)} characters" for p in given]
+    one = ledger.send(requests.filter("doc_id % 2 = 0 AND doc_id % 7 < 3"), folder, measure, "one", batch_prompts=8)
+    two = ledger.send(requests, folder, measure, "two", batch_prompts=8)
+    n_sent = F.when(F.col("wave") == "one", one.sent).otherwise(two.sent).cast("bigint")
+    return requests.select("request_id", "doc_id").join(ledger.answered(requests, folder), "request_id").select("doc_id", "text", "wave", n_sent.alias("n_sent"))
+
+
+@query(
+    "paired_run",
+    """SELECT CAST(c_custkey AS VARCHAR) AS sample_id, CAST(least(n, 2) AS VARCHAR) AS told, CAST(n AS VARCHAR) AS told_raw, CASE WHEN n <= 2 THEN 1 ELSE 0 END AS em, 1 AS em_raw
+FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)""",
+)
+def paired_run(spark, sf_dir):
+    """How many orders a customer has, asked on a table of the first two and on the whole one, in one run."""
+    tables, rows = customer_tables(spark, sf_dir), customer_rows(spark, sf_dir)
+    samples = customer_samples(spark, sf_dir).join(tables.select("sample_id", "n_rows"), "sample_id")
+    samples = samples.withColumn("answer", F.parse_json(F.concat(F.lit('[["'), F.col("n_rows").cast("string"), F.lit('"]]'))))
+    few = rows.filter("row_pos < 2").withColumn("n_rows", F.least("n_rows", F.lit(2).cast("bigint")))
+    fewer = tables.withColumn("n_rows", F.least("n_rows", F.lit(2).cast("bigint")))
+    # two lines of a table are its head
+    count = lambda given: [f'{{"Answer": "{sum(line.startswith("| ") for line in p.split(chr(10))) - 2}"}}' for p in given]
+    folder = f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    run = evaluation.paired_run(samples, fewer, few, _segments(spark, sf_dir).limit(0), tables, rows, count, folder)
+    raw = run.raw_results.select("sample_id", F.col("prediction").alias("told_raw"), F.col("em").alias("em_raw"))
+    return run.results.select("sample_id", F.col("prediction").alias("told"), "em").join(raw, "sample_id")

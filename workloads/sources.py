@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableviews.functions.text import fill_prompt, percent_text
-from tableviews.operators import reshape, selection
+from tableviews.operators import reshape, selection, verbalize
 from tableviews.session import checkpoint_folder, stored
 from tableviews.sources import corpus, tabular
-from workloads.derive import CUSTOMER_SAMPLES, ORDER_COLUMNS, ORDER_ROWS, customer_samples, names, table, with_ctes
+from workloads.derive import CUSTOMER_SAMPLES, ORDER_COLUMNS, ORDER_ROWS, customer_rows, customer_samples, names, table, with_ctes
 from workloads.registry import query
 
 SPLITS = ("even", "odd")
@@ -215,6 +215,25 @@ def prompt_files(spark, sf_dir):
     return named.select(F.col("r_name").alias("variant"), fill_prompt(F.col("template"), {"name": F.col("n_name")}).alias("prompt"))
 
 
+@query(
+    "gated_sinks",
+    """SELECT CAST(c_custkey AS VARCHAR) AS sample_id, CASE WHEN c_acctbal >= 0 THEN 'kept' ELSE 'failed' END AS outcome, c_name AS question, coalesce(n, 0) AS n_rows
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
+)
+def gated_sinks(spark, sf_dir):
+    """Samples whose answers are whole and those with a gap side by side, and the normalized rows, written and read back."""
+    folder = _folder(spark)
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string"))
+    told = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_name").alias("question"), F.array("c_mktsegment", balance).alias("flat"))
+    gated = verbalize.gate_by_answer(told, "flat")
+    corpus.write_gated(gated.drop("flat"), "ok", f"{folder}/gated")
+    corpus.write_normalized({"samples": told, "rows": customer_rows(spark, sf_dir)}, f"{folder}/normalized")
+    back = spark.read.schema("sample_id string, question string, outcome string").json(f"{folder}/gated")
+    counted = spark.read.parquet(f"{folder}/normalized/rows").groupBy("sample_id").agg(F.count("*").alias("n_rows"))
+    known = spark.read.parquet(f"{folder}/normalized/samples").select("sample_id")
+    return back.join(known, "sample_id").join(counted, "sample_id", "left").select("sample_id", "outcome", "question", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 @query(
     "percent_texts",
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%.2f%%', l_discount * 100) AS share FROM lineitem",
