@@ -11,13 +11,14 @@ from tableviews.llm.shared import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to the smallest node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # a table of its own, here and below: the links of a hub are split among tasks only where the join reads plain shuffles
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of these. a > b in every link."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m")))
     around = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return around.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -36,6 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _state(edges)) != before and now[0]:
         before = now
-        edges = stored(_small_star(_large_star(edges)))
+        edges = stored(_small_star(stored(_large_star(edges))))
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -326,7 +326,8 @@ def classes(texts: DataFrame, *, similarity: float = SIMILARITY, recall: float =
     """(doc, class, n_copies, n_links) for each row of texts; rows of one doc have one text."""
     runs = runs_for(similarity, depth, recall)
     sketch = stored(sketches(texts, runs, depth))
-    sets = sketch.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    # a table of its own: adaptive execution splits a large group of copies only where the joins read plain shuffles
+    sets = stored(sketch.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
     members = stored(sketch.select("doc", "k1", "k2").join(sets, ["k1", "k2"]).select("doc", "rep", "copies"))
     chosen = stored(sketch.join(sets, ["k1", "k2"]).filter("doc = rep").dropDuplicates(["rep"]).select("rep", "n", "copies", "sig", "paths"))
 
@@ -381,7 +382,9 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are the smallest of their class, with their own columns."""
     texts, pairs = numbered(docs)
     gone = classes(texts, **options).filter(F.col("doc") != F.col("class")).select("doc").distinct()
+    # columns of gone are named by their table, as docs may have any names
     if pairs is None:
-        return docs.join(gone.select(F.col("doc").alias("__doc")), order_of() == F.col("__doc"), "left_anti")
+        gone = gone.select(F.col("doc").alias("__doc"))
+        return docs.join(gone, order_of() == gone["__doc"], "left_anti")
     gone = pairs.join(gone, "doc", "left_semi").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"))
-    return docs.join(gone, (order_of() == F.col("__id")) & (text_tag() == F.col("__tag")), "left_anti")
+    return docs.join(gone, (order_of() == gone["__id"]) & (text_tag() == gone["__tag"]), "left_anti")

@@ -2,7 +2,8 @@
 
 1. Each document has a number of tokens (blank-separated words) and a topic: the nearest of `TOPICS` centroids of
    profiles, which k-means finds on all of them. A profile counts the shapes of all words (length, kind of first
-   character) and is taken relative to its language's mean, so topics cut across languages. With a column `topic` of whole numbers that column is taken.
+   character) and is taken relative to its language's mean, so topics cut across languages. With the argument `topic`
+   that column's whole numbers are taken instead; what is no whole number is topic -1.
 2. Tokens are summed over all documents by (source, language, topic).
 3. The cells are raked: weights are scaled to the target share of every source, then of every language, then of every
    topic, until all three agree with their targets within `TOLERANCE`. Targets that the present cells cannot meet together are
@@ -79,7 +80,8 @@ def topic_model(profiles: DataFrame, topics: int = TOPICS) -> tuple[dict[str, np
     parts = -(-profiles.count() // PER_PART)
     dealt = profiles.select("__key", "__lang", "__profile").repartition(parts, "__key", "__lang").sortWithinPartitions("__key", "__lang", "__profile")
     fitted = stored(centred(dealt.select("__lang", "__profile"), means).select(array_to_vector("__centred").alias("x")))
-    return means, np.array(KMeans(k=topics, seed=SEED, featuresCol="x", maxIter=15, initSteps=2).fit(fitted).clusterCenters())
+    # by rows, as the solver by blocks fails where there are fewer different profiles than topics
+    return means, np.array(KMeans(k=topics, seed=SEED, featuresCol="x", maxIter=15, initSteps=2, solver="row").fit(fitted).clusterCenters())
 
 
 def _differences(batch: pa.RecordBatch, means: dict[str, np.ndarray]) -> np.ndarray:
@@ -159,14 +161,14 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return spark.createDataFrame(held)
 
 
-def mixed(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, topics: int = TOPICS, seed: int = SEED, trim: tuple[float, float] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, topics: int = TOPICS, topic: str | None = None, seed: int = SEED, trim: tuple[float, float] | None = None) -> DataFrame:
     """docs with __tokens, __topic, __probability and __kept."""
     targets = targets or {}
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text")))
-    given = "topic" in docs.columns
-    base = docs.select("doc_id", "text", "source", "lang", *["topic"] * given).withColumn("__key", key)
-    profiles = stored(with_profile(base).select("doc_id", "__key", text("source").alias("__source"), text("lang").alias("__lang"), *[F.coalesce(F.col("topic").cast("int"), F.lit(-1)).alias("__topic")] * given, *OWN))
+    given = topic is not None
+    base = docs.select("doc_id", "text", "source", "lang", *([F.col(topic).alias("__given")] if given else [])).withColumn("__key", key)
+    profiles = stored(with_profile(base).select("doc_id", "__key", text("source").alias("__source"), text("lang").alias("__lang"), *([F.coalesce(F.col("__given").try_cast("int"), F.lit(-1)).alias("__topic")] if given else []), *OWN))
     labelled = profiles.drop("__profile") if given else with_topic(profiles, *topic_model(profiles, topics))
     cells = stored(labelled.groupBy(*DIMENSIONS).agg(F.sum("__tokens").alias("tokens")))
     present = cells.filter("tokens > 0")

@@ -371,13 +371,13 @@ def test_mixture_meets_targets_beyond_three_times_a_share(session):
     table = session.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")
     goals = {"source": {"a": 0.3, "b": 0.3, "c": 0.4}, "lang": {"en": 0.5, "de": 0.5}}
     targets = {f"__{d}": session.createDataFrame(list(g.items()), f"__{d} string, target double") for d, g in goals.items()}
-    got = source_mixing.mixture(table, targets=targets).collect()
+    got = source_mixing.mixture(table, targets=targets, topic="topic").collect()
     total = sum(r["probability"] * r["n_tokens"] for r in got)
     for d, goal in goals.items():
         for name, share in goal.items():
             assert abs(sum(r["probability"] * r["n_tokens"] for r in got if r[d] == name) / total - share) <= 0.005 * share + 1e-9
     with pytest.warns(UserWarning, match="targets are missed"):
-        source_mixing.mixture(table, targets=targets, trim=(0.2, 3.0))
+        source_mixing.mixture(table, targets=targets, topic="topic", trim=(0.2, 3.0))
 
 
 def test_topics_come_from_all_profiles(session):
@@ -393,7 +393,7 @@ def test_topics_come_from_all_profiles(session):
 def test_draws_follow_the_probabilities(session):
     rows = [(k, f"word{k} and more {k % 7}", "en" if k % 3 else "de", "a" if k % 4 else "b", k % 2) for k in range(4000)]
     table = session.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")
-    got = source_mixing.mixture(table).collect()
+    got = source_mixing.mixture(table, topic="topic").collect()
     groups = {}
     for r in got:
         groups.setdefault((r["source"], r["lang"], r["topic"]), []).append(r)
@@ -508,4 +508,4 @@ def test_the_pipeline_against_plain_steps(session, docs, texts, labels, benchmar
 
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
