@@ -107,6 +107,43 @@ def repair_requests(requests: DataFrame, failed: DataFrame, dialect: str = "Spar
     return exchange.make_requests(again, "repair", ["sample_id"], F.to_json("messages"))
 
 
+def sql_rounds(
+    samples: DataFrame,
+    previews: DataFrame,
+    fn: Callable[[list[str]], list[str | None]],
+    folder: str,
+    today: str,
+    dialect: str = "Spark SQL",
+    find_errors: Callable[[DataFrame], DataFrame] | None = None,
+    rounds: int = 2,
+) -> DataFrame:
+    """Ask for a statement for each sample, and again for those that fail: (sample_id, round, sql, note, statement, error).
+
+    ``find_errors`` takes (sample_id, statement) of the statements that are allowed and gives (sample_id, error) of those
+    that fail where they run.  A failed one goes back with its error, ``rounds`` - 1 times at most; a sample's row is that
+    of its last round.  A sample without a reply has nothing to repair.  Prompts and replies are kept in a ledger below
+    ``folder``, so a run that stopped goes on where it was.
+    """
+    requests = stored(sql_requests(samples, previews, today, dialect))
+    settled: list[DataFrame] = []
+    for number in range(rounds):
+        ledger.send(requests, folder, fn, str(number))
+        told = sql_statements(requests, ledger.answered(requests, folder))
+        if find_errors is not None:
+            found = find_errors(told.filter("error IS NULL").select("sample_id", "statement")).select("sample_id", F.col("error").alias("found"))
+            told = told.join(found, "sample_id", "left").withColumn("error", F.coalesce("error", "found")).drop("found")
+        told = stored(told.withColumn("round", F.lit(number)))
+        open_ones = told.filter("error IS NOT NULL AND sql <> ''") if number + 1 < rounds else told.limit(0)
+        settled.append(told.join(open_ones.select("sample_id"), "sample_id", "left_anti"))
+        if open_ones.isEmpty():
+            break
+        requests = stored(repair_requests(requests, open_ones.select("sample_id", "sql", "error"), dialect))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out.select("sample_id", "round", "sql", "note", "statement", "error")
+
+
 def judge_requests(results: DataFrame) -> DataFrame:
     """Judge requests of all results whose truth (VARIANT ``answer``) counts, one per sample and view."""
     key = ["sample_id", "view"] if "view" in results.columns else ["sample_id"]

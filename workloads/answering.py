@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tableviews.functions import cells as cell_functions
 from tableviews.functions import replies
-from tableviews.operators import answers, templates, verbalize
+from tableviews.operators import answers, selection, templates, verbalize
+from tableviews.plans import subsets
 from tableviews.session import configure, stored
 from workloads.derive import (
     CUSTOMER_SAMPLES, LINE_ROWS, ORDER_ROWS, ORDER_SAMPLES, customer_rows, customer_samples, customer_tables, duck_hash, joined, order_rows,
@@ -14,6 +15,7 @@ from workloads.derive import (
 )
 from workloads.registry import query
 from workloads.sentences import wide_sets
+from workloads.shapes import _COUNTED, _CUSTOMER_ONLY, _TAGGED, _counted
 
 _DAY = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"
 _LOOKUP_CTES = f"""hits AS (
@@ -82,6 +84,25 @@ def answer_quality(spark, sf_dir):
     return answers.answer_quality(answers.recompute_answers(*_customer(spark, sf_dir)))
 
 
+@query(
+    "answered_subset",
+    with_ctes(
+        CUSTOMER_SAMPLES, ORDER_ROWS, _CUSTOMER_ONLY, _TAGGED, _COUNTED, _LOOKUP_CTES,
+        "vals AS (SELECT sample_id, unnest(string_split(answer, ' | ')) AS v FROM lookups)",
+        """good AS (SELECT sample_id FROM vals GROUP BY sample_id
+ HAVING count(*) FILTER (v <> '') > 0 AND NOT (count(*) = 1 AND count(*) FILTER (TRY_CAST(v AS DOUBLE) = 0) = 1))""",
+    )
+    + """SELECT sample_id, sql_type, CASE WHEN n_rows <= 10 THEN 'short_' ELSE 'long_' END ||
+ CASE WHEN sql_type = 'SimpleProjection' THEN 'lookup' ELSE 'compositional' END AS subset
+FROM counted WHERE sql_type <> '' AND sample_id IN (SELECT sample_id FROM good)""",
+)
+def answered_subset(spark, sf_dir):
+    """Questions of all subsets whose lookup gives an answer that says something."""
+    labelled = _counted(spark, sf_dir).withColumn("subset", selection.subset_label(short_max=10, long_min=11)).filter(F.col("subset").isNotNull())
+    quality = answers.answer_quality(answers.answer_lookups(*_customer(spark, sf_dir)))
+    return subsets.answered_subset(labelled, quality).select("sample_id", "sql_type", "subset")
+
+
 @query(
     "recompute_answers",
     with_ctes(ORDER_SAMPLES, LINE_ROWS, f"""chosen AS (

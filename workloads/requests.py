@@ -422,3 +422,32 @@ def paired_run(spark, sf_dir):
     run = evaluation.paired_run(samples, fewer, few, _segments(spark, sf_dir).limit(0), tables, rows, count, folder)
     raw = run.raw_results.select("sample_id", F.col("prediction").alias("told_raw"), F.col("em").alias("em_raw"))
     return run.results.select("sample_id", F.col("prediction").alias("told"), "em").join(raw, "sample_id")
+
+
+@query(
+    "repaired_sql",
+    """SELECT CAST(c_custkey AS VARCHAR) AS sample_id, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS round,
+ CASE WHEN c_custkey % 9 = 0 THEN 'SELECT o_total FROM orders;' ELSE 'SELECT o_totalprice FROM orders;' END AS statement,
+ CASE WHEN c_custkey % 9 = 0 THEN 'no column o_total' END AS error FROM customer""",
+)
+def repaired_sql(spark, sf_dir):
+    """Statements of all customers in two rounds: what names an unknown column goes back with its error."""
+    def reply(given):
+        import json
+        import re
+
+        out = []
+        for prompt in given:
+            messages = json.loads(prompt)
+            number = int(re.search(r"Customer#0*(\d+)", messages[1]["content"]).group(1))
+            wrong = number % (3 if len(messages) == 2 else 9) == 0
+            out.append("SELECT o_total FROM orders" if wrong else "SELECT o_totalprice FROM orders")
+        return out
+
+    def unknown_columns(statements):
+        named = F.regexp_extract("statement", r"SELECT (\w+)", 1)
+        return statements.filter(~named.isin(ORDER_COLUMNS)).select("sample_id", F.concat(F.lit("no column "), named).alias("error"))
+
+    folder = f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    told = evaluation.sql_rounds(customer_samples(spark, sf_dir), _previews(spark, sf_dir), reply, folder, "2025-01-31", find_errors=unknown_columns)
+    return told.select("sample_id", "round", "statement", "error")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tableviews.functions import sqltext
 from tableviews.operators import profile, reshape, selection
+from tableviews.plans import subsets as plans
 from tableviews.sources import tabular
 from workloads.derive import (
     CUSTOMER_SAMPLES, LINE_COLUMNS, LINE_ROWS, ORDER_COLUMNS, ORDER_SAMPLES, customer_samples, duck_hash, joined, names,
@@ -185,6 +186,22 @@ def multi_table_union(spark, sf_dir):
     return short.unionByName(long)
 
 
+@query(
+    "multi_table_subsets",
+    with_ctes(
+        _NATION_TABLES, "grouped AS (SELECT t.*, r_name AS grp FROM nation_tables t JOIN nation ON n_nationkey = t.ord JOIN region ON r_regionkey = n_regionkey)",
+        """fit AS (SELECT s.subset, grp, sample_id, any_value(ord) AS ord FROM grouped,
+ (VALUES ('short', 1, 10), ('long', 11, 1000000), ('any', -1, 1000000)) AS s(subset, low, high) WHERE n_rows BETWEEN low AND high GROUP BY ALL HAVING count(*) >= 2)""",
+    )
+    + "SELECT subset, grp, sample_id, ord FROM fit QUALIFY row_number() OVER (PARTITION BY subset, grp ORDER BY ord, sample_id) <= 3",
+)
+def multi_table_subsets(spark, sf_dir):
+    """The first three nations of each region with enough short, long, or any tables."""
+    regions = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    grouped = _nation_tables(spark, sf_dir).join(regions.select(F.col("n_nationkey").alias("ord"), F.col("r_name").alias("grp")), "ord")
+    return plans.multi_table_subsets(grouped, "grp", short=(1, 10), long_min=11, per_group=3, with_any_length=True)
+
+
 @query(
     "sample_per_type",
     with_ctes(ORDER_SAMPLES, CUSTOMER_SAMPLES, _SAMPLES, _TAGGED)
