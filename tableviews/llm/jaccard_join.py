@@ -328,8 +328,10 @@ def classes(texts: DataFrame, *, similarity: float = SIMILARITY, recall: float =
     sketch = stored(sketches(texts, runs, depth))
     # a table of its own: adaptive execution splits a large group of copies only where the joins read plain shuffles
     sets = stored(sketch.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
-    members = stored(sketch.select("doc", "k1", "k2").join(sets, ["k1", "k2"]).select("doc", "rep", "copies"))
-    chosen = stored(sketch.join(sets, ["k1", "k2"]).filter("doc = rep").dropDuplicates(["rep"]).select("rep", "n", "copies", "sig", "paths"))
+    # merged at every size: there are about as many sets as documents
+    of_set = sets.hint("merge")
+    members = stored(sketch.select("doc", "k1", "k2").join(of_set, ["k1", "k2"]).select("doc", "rep", "copies"))
+    chosen = stored(sketch.join(of_set, ["k1", "k2"]).filter("doc = rep").dropDuplicates(["rep"]).select("rep", "n", "copies", "sig", "paths"))
 
     leaves = stored(leaves_of(chosen, runs, depth, small))
     rows = leaves.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("run", "leaf", "size"))).alias("held"))
