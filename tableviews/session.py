@@ -46,8 +46,11 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the one the session names, else one below the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
+    """The shared folder for intermediate tables: the one the session names, else, on a single machine, one below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
