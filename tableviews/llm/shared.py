@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,7 +107,7 @@ def batches_by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
         same = np.ones(batch.num_rows, bool)
         for key in keys:
             values = column(batch, key)
-            same &= np.asarray(pa.compute.equal(values, values[batch.num_rows - 1]).fill_null(False))
+            same &= np.asarray(pc.equal(values, values[batch.num_rows - 1]).fill_null(False))
         breaks = np.flatnonzero(~same)
         if not len(breaks):
             first = open_part and all(column(open_part[0], k)[0] == column(batch, k)[0] for k in keys)
