@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableviews.functions import markdown, replies, text, wording
 from tableviews.operators import exchange, ledger, profile, prompts, reshape, templates
+from tableviews.operators.markdown_rows import markdown_rows
 from tableviews.plans import evaluation
 from tableviews.session import checkpoint_folder
 from workloads.derive import (
@@ -330,7 +331,7 @@ heads AS (SELECT doc_id, ls, list_transform(string_split(trim(ls[1], '|'), '|'),
 body AS (SELECT doc_id, h, unnest(ls[3:]) AS l FROM heads), cut AS (SELECT doc_id, h, list_transform(string_split(trim(l, '|'), '|'), lambda x: trim(x)) AS c FROM body)
 SELECT doc_id, len(h) AS n_columns, array_to_string(c, '~') AS cells FROM cut WHERE len(c) = len(h)""",
 )
-def markdown_rows(spark, sf_dir):
+def markdown_table_rows(spark, sf_dir):
     """Markdown tables in texts: header, and the rows of the same arity."""
     parsed = table(spark, sf_dir, "documents").select("doc_id", markdown.parse_table(F.col("text")).alias("t"))
     return parsed.select("doc_id", F.size("t.columns").alias("n_columns"), F.explode_outer("t.rows").alias("r")).filter(F.col("r").isNotNull()).select(
@@ -338,6 +339,18 @@ def markdown_rows(spark, sf_dir):
     )
 
 
+@query(
+    "markdown_part_rows",
+    with_ctes(CUSTOMER_SAMPLES, ORDER_ROWS) + """SELECT sample_id AS table_id, row_pos, count(*) OVER (PARTITION BY sample_id) AS n_rows, array_to_string(cells, '~') AS cells FROM order_rows""",
+)
+def markdown_part_rows(spark, sf_dir):
+    """Rendered tables in parts of four rows, back to rows without putting a table together."""
+    parts = prompts.render_tables(customer_rows(spark, sf_dir), customer_tables(spark, sf_dir), rows_per_part=4)
+    plain = parts.select("sample_id", "part", F.regexp_replace("markdown", r"^### Table: \w+\n\n", "").alias("markdown"))
+    rows = markdown_rows(plain, "sample_id")
+    return rows.select(F.col("sample_id").alias("table_id"), "row_pos", "n_rows", joined("cells", "~").alias("cells"))
+
+
 @query(
     "markdown_subset",
     with_ctes(CUSTOMER_SAMPLES, ORDER_ROWS)
